@@ -51,24 +51,47 @@ class _Powers:
 _powers = _Powers()
 
 
+class _Scan:
+    """Word boundaries of a batch of texts, and hashes of any spans of its bytes."""
+
+    def __init__(self, texts: list) -> None:
+        lowered = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
+        raw = np.frombuffer(b"\n" + b"\n".join(lowered) + b"\n", np.uint8)
+        is_word = _WORD[raw]
+        edges = np.flatnonzero(is_word[1:] != is_word[:-1]) + 1
+        self.starts, self.ends = edges[0::2], edges[1::2]
+        up, self.down = _powers.get(len(raw) + 1)
+        with np.errstate(over="ignore"):
+            self.prefix = np.zeros(len(raw) + 1, _U)
+            np.cumsum((raw.astype(_U) + _U(1)) * up[: len(raw)], out=self.prefix[1:])
+        sizes = np.fromiter((len(x) + 1 for x in lowered), np.int64, len(texts))
+        self.offsets = np.searchsorted(self.starts, np.concatenate([[1], 1 + np.cumsum(sizes)]))
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((self.prefix[ends] - self.prefix[starts]) * self.down[starts])
+
+
 def words(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts, and for each text the offset of its first word (n + 1 values).
 
     None and empty texts have no words. Equal words have equal hashes in every batch.
     """
-    data = b"\n".join((t or "").lower().encode("utf-8", "surrogatepass") for t in texts)
-    raw = np.frombuffer(b"\n" + data + b"\n", np.uint8)
-    is_word = _WORD[raw]
-    edges = np.flatnonzero(is_word[1:] != is_word[:-1]) + 1
-    starts, ends = edges[0::2], edges[1::2]
-    up, down = _powers.get(len(raw) + 1)
-    with np.errstate(over="ignore"):
-        prefix = np.zeros(len(raw) + 1, _U)
-        np.cumsum((raw.astype(_U) + _U(1)) * up[: len(raw)], out=prefix[1:])
-        hashes = mix((prefix[ends] - prefix[starts]) * down[starts])
-    sizes = np.fromiter((len((t or "").lower().encode("utf-8", "surrogatepass")) + 1 for t in texts), np.int64, len(texts)) if not data.isascii() else np.fromiter((len(t or "") + 1 for t in texts), np.int64, len(texts))
-    begins = np.concatenate([[1], 1 + np.cumsum(sizes)])
-    return hashes, np.searchsorted(starts, begins)
+    scan = _Scan(texts)
+    return scan.hashes(scan.starts, scan.ends), scan.offsets
+
+
+def stems(texts: list, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and of the first bytes of longer words, by each of `lengths`, and the text of each."""
+    scan = _Scan(texts)
+    owner = np.repeat(np.arange(len(texts)), np.diff(scan.offsets))
+    values, owners = [scan.hashes(scan.starts, scan.ends)], [owner]
+    for n in lengths:
+        longer = np.flatnonzero(scan.ends - scan.starts > n)
+        starts = scan.starts[longer]
+        values.append(mix(scan.hashes(starts, starts + n) ^ _U(n)))
+        owners.append(owner[longer])
+    return np.concatenate(values), np.concatenate(owners)
 
 
 def shingles(hashes: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
