@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,22 +64,22 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow, named so that the plans of the operators read alike."""
-    return df.mapInArrow(function, schema)
+def _release() -> None:
+    """Give freed memory back to the system, so that an idle Python worker doesn't hold it beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
 
 
-def arrays_to_lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-    """A list column from flat values and the offsets of its rows."""
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow; a worker that is done with a partition releases its memory."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        _release()
 
-def unique_name(taken: list[str], name: str) -> str:
-    """`name`, with underscores added until no column of `taken` has it (without regard to case)."""
-    lower = {c.lower() for c in taken}
-    while name.lower() in lower:
-        name = f"_{name}"
-    return name
+    return df.mapInArrow(run, schema)
 
 
 def keep_rows(docs: DataFrame, keep: Callable[[pa.RecordBatch], list[bool]], limit: int = 4_000_000) -> DataFrame:
@@ -88,7 +90,7 @@ def keep_rows(docs: DataFrame, keep: Callable[[pa.RecordBatch], list[bool]], lim
             for part in text_slices(batch, limit=limit):
                 yield part.filter(pa.array(keep(part), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def replace_text(docs: DataFrame, change: Callable[[list], list], limit: int = 4_000_000) -> DataFrame:
@@ -101,4 +103,4 @@ def replace_text(docs: DataFrame, change: Callable[[list], list], limit: int = 4
                 column = part.column(place)
                 yield part.set_column(place, part.schema.field(place), pa.array(change(column.to_pylist()), column.type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

@@ -17,6 +17,8 @@ _INV = pow(_MULT, -1, 1 << 64)
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _U = np.uint64
+#: Characters that are scanned at once: working memory is about 60 bytes for each.
+WORKING = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -77,20 +79,27 @@ def words(texts: list) -> tuple[np.ndarray, np.ndarray]:
 
     None and empty texts have no words. Equal words have equal hashes in every batch.
     """
-    scan = _Scan(texts)
-    return scan.hashes(scan.starts, scan.ends), scan.offsets
+    values, counts = [np.zeros(0, _U)], [np.zeros(1, np.int64)]
+    for a, b in slices(texts, WORKING):
+        scan = _Scan(texts[a:b])
+        values.append(scan.hashes(scan.starts, scan.ends))
+        counts.append(np.diff(scan.offsets))
+    return np.concatenate(values), np.cumsum(np.concatenate(counts))
 
 
 def stems(texts: list, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words and of the first bytes of longer words, by each of `lengths`, and the text of each."""
-    scan = _Scan(texts)
-    owner = np.repeat(np.arange(len(texts)), np.diff(scan.offsets))
-    values, owners = [scan.hashes(scan.starts, scan.ends)], [owner]
-    for n in lengths:
-        longer = np.flatnonzero(scan.ends - scan.starts > n)
-        starts = scan.starts[longer]
-        values.append(mix(scan.hashes(starts, starts + n) ^ _U(n)))
-        owners.append(owner[longer])
+    values, owners = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+    for a, b in slices(texts, WORKING):
+        scan = _Scan(texts[a:b])
+        owner = np.repeat(np.arange(a, b), np.diff(scan.offsets))
+        values.append(scan.hashes(scan.starts, scan.ends))
+        owners.append(owner)
+        for n in lengths:
+            longer = np.flatnonzero(scan.ends - scan.starts > n)
+            starts = scan.starts[longer]
+            values.append(mix(scan.hashes(starts, starts + n) ^ _U(n)))
+            owners.append(owner[longer])
     return np.concatenate(values), np.concatenate(owners)
 
 
