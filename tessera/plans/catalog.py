@@ -1,4 +1,414 @@
-"""All queries of the engine and their SQL."""
+"""All queries of the engine over the Parquet tables, and the DuckDB SQL of those that SQL can express."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.chunking import Splitter, sentence_array
+from ..functions.extract import html_column
+from ..operators import fts, ranking, vector
+from ..operators.filters import SearchFilter
+from ..operators.search import hybrid_search as hybrid
+from ..sources.tables import corpus, table, vectors
+from ..streaming import live
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+D = "d AS (SELECT doc_id, concat(source, '/', lang, '/doc_', doc_id, '.txt') AS path, source AS collection, lang AS language, text, 60 * 86400 - doc_id * 3600 AS age FROM documents)"
+TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+V = "v AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v, label FROM embeddings)"
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a query, with its SQL."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- sources, filters, catalog ---
+
+
+@query(f"WITH {D} SELECT doc_id, path, collection FROM d ORDER BY path LIMIT 100")
+def list_sources(spark, sf):
+    """The first 100 documents by path."""
+    return corpus(spark, sf).orderBy("path").limit(100).select("doc_id", "path", "collection")
+
+
+@query(f"WITH {D} SELECT doc_id, path, language FROM d WHERE path = 'src3/en/doc_' || doc_id || '.txt'")
+def point_lookup(spark, sf):
+    """Documents whose path is the one their id has in one collection and language."""
+    return corpus(spark, sf).where(F.col("path") == F.concat(F.lit("src3/en/doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))).select("doc_id", "path", "language")
+
+
+@query(f"WITH {D} SELECT collection, count(DISTINCT doc_id) AS docs, count(*) AS chunks, sum(length(text))::BIGINT AS chars FROM d WHERE collection <> '' GROUP BY collection")
+def collection_stats(spark, sf):
+    """Documents and chunks of each collection, in one aggregation."""
+    return corpus(spark, sf).where("collection <> ''").groupBy("collection").agg(F.countDistinct("doc_id").alias("docs"), F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("SELECT DISTINCT source AS collection FROM documents WHERE source <> ''")
+def list_collections(spark, sf):
+    return corpus(spark, sf).where("collection <> ''").select("collection").distinct()
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS docs, (SELECT count(*) FROM embeddings) AS vectors, (SELECT count(*) FROM documents WHERE text IS NULL OR text = '') AS empty_docs")
+def index_stats(spark, sf):
+    """Sizes of the index."""
+    d = corpus(spark, sf).agg(F.count("*").alias("docs"), F.count_if(F.col("text").isNull() | (F.col("text") == "")).alias("empty_docs"))
+    return d.crossJoin(vectors(spark, sf).agg(F.count("*").alias("vectors"))).select("docs", "vectors", "empty_docs")
+
+
+@query(f"WITH {D} SELECT doc_id, path FROM d WHERE language IN ('en', 'de') AND collection = 'src1'")
+def metadata_filter(spark, sf):
+    return corpus(spark, sf).where(SearchFilter(languages=("en", "de"), collection="src1").predicate()).select("doc_id", "path")
+
+
+@query(f"WITH {D} SELECT doc_id, path FROM d WHERE starts_with(lower(path), 'src2/fr/')")
+def path_prefix_filter(spark, sf):
+    return corpus(spark, sf).where(SearchFilter(path_prefix="SRC2/fr/").predicate()).select("doc_id", "path")
+
+
+@query(f"WITH {D} SELECT doc_id, path FROM d WHERE NOT starts_with(path, 'src0/')")
+def delete_prefix(spark, sf):
+    """What is left after a directory is deleted."""
+    return corpus(spark, sf).where(~((F.col("path") == "src0") | F.col("path").startswith("src0/"))).select("doc_id", "path")
+
+
+@query("SELECT collection, count(*) AS n FROM (SELECT source AS collection FROM documents WHERE source NOT IN ('src0', 'src5')) GROUP BY collection")
+def delete_collection(spark, sf):
+    """Documents by collection after two collections are deleted."""
+    gone = spark.createDataFrame([("src0",), ("src5",)], "collection string")
+    return corpus(spark, sf).join(F.broadcast(gone), "collection", "left_anti").groupBy("collection").agg(F.count("*").alias("n"))
+
+
+@query("SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
+def content_hash_dedup(spark, sf):
+    """One document for each content."""
+    return corpus(spark, sf).groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query("WITH n AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 2 = 1), o AS (SELECT sha256(text) AS h, min(doc_id) AS old_id FROM documents WHERE doc_id % 2 = 0 GROUP BY 1) SELECT doc_id, old_id, CASE WHEN old_id IS NULL THEN 'embed' ELSE 'reuse' END AS action FROM n LEFT JOIN o USING (h)")
+def chunk_diff(spark, sf):
+    """New chunks against stored ones by content hash: only the others are embedded."""
+    c = corpus(spark, sf).select("doc_id", F.sha2("text", 256).alias("h"))
+    old = c.where("doc_id % 2 = 0").groupBy("h").agg(F.min("doc_id").alias("old_id"))
+    return c.where("doc_id % 2 = 1").join(old, "h", "left").select("doc_id", "old_id", F.when(F.col("old_id").isNull(), "embed").otherwise("reuse").alias("action"))
+
+
+@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'index' WHEN d.doc_id IS NULL THEN 'delete' ELSE 'sync' END AS action FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id AND l.doc_id % 3 <> 0")
+def reconcile(spark, sf):
+    """What the scan found against what is indexed."""
+    seen = table(spark, sf, "documents").select("doc_id", F.lit(True).alias("seen"))
+    known = table(spark, sf, "labels").select(F.col("doc_id").alias("known_id"))
+    both = seen.join(known, (F.col("doc_id") == F.col("known_id")) & (F.col("known_id") % 3 != 0), "full")
+    return both.select(F.coalesce("doc_id", "known_id").alias("doc_id"), F.when(F.col("known_id").isNull(), "index").when(F.col("doc_id").isNull(), "delete").otherwise("sync").alias("action"))
+
+
+@query("SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id)")
+def orphans_anti_join(spark, sf):
+    return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("WITH r AS (SELECT doc_id, source, lang FROM documents), s AS (SELECT doc_id, source, 'xx' AS lang FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id + 1000000000, source, lang FROM documents WHERE doc_id % 7 = 0) SELECT coalesce(s.doc_id, r.doc_id) AS doc_id, coalesce(s.source, r.source) AS source, coalesce(s.lang, r.lang) AS lang FROM r FULL JOIN s USING (doc_id)")
+def document_upsert(spark, sf):
+    """New rows replace those with their key."""
+    old = table(spark, sf, "documents").select("doc_id", "source", "lang")
+    new = old.where("doc_id % 5 = 0").withColumn("lang", F.lit("xx")).unionByName(old.where("doc_id % 7 = 0").withColumn("doc_id", F.col("doc_id") + 1000000000))
+    return old.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new)
+
+
+@query(f"WITH {D} SELECT doc_id, CASE WHEN starts_with(path, 'src1/') THEN 'archive/' || substr(path, 6) ELSE path END AS path FROM d")
+def rename_path(spark, sf):
+    c = corpus(spark, sf)
+    return c.select("doc_id", F.when(F.col("path").startswith("src1/"), F.concat(F.lit("archive/"), F.expr("substring(path, 6)"))).otherwise(F.col("path")).alias("path"))
+
+
+@query("SELECT doc_id, trim(substr(text, 1, 200)) AS excerpt, length(text) AS n FROM documents")
+def excerpts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.trim(F.substring("text", 1, 200)).alias("excerpt"), F.length("text").alias("n"))
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, sum(least(length(text), 1200)) OVER (ORDER BY doc_id) AS used FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 50)) WHERE used <= 12000")
+def output_budget(spark, sf):
+    """The first results whose snippets fit in 12000 characters together."""
+    top = table(spark, sf, "documents").orderBy("doc_id").limit(50)
+    used = F.sum(F.least(F.length("text"), F.lit(1200))).over(Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    return top.select("doc_id", used.alias("used")).where("used <= 12000").select("doc_id")
+
+
+# --- full text ---
+
+
+@query(f"WITH t AS (SELECT doc_id, unnest({TOK}) AS term FROM documents) SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM t GROUP BY term")
+def token_stats(spark, sf):
+    """Frequencies of every term."""
+    one = table(spark, sf, "documents").select("doc_id", F.explode(fts.tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    return one.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
+
+
+_T = f"WITH t AS (SELECT doc_id, {TOK} AS k FROM documents)"
+
+
+@query(f"{_T} SELECT doc_id FROM t WHERE list_contains(k, 'tion') AND list_contains(k, 'with')")
+def fts_and(spark, sf):
+    return _units(spark, sf, ["tion", "with"], 2)
+
+
+@query(f"{_T} SELECT doc_id FROM t WHERE list_contains(k, 'tion') OR list_contains(k, 'with')")
+def fts_or(spark, sf):
+    return _units(spark, sf, ["tion", "with"], 1)
+
+
+def _units(spark, sf, terms, least):
+    docs = table(spark, sf, "documents").select("doc_id", fts.tokens(F.col("text")).alias("k"))
+    hits = sum((F.array_contains("k", t).cast("int") for t in terms), F.lit(0))
+    return docs.where(hits >= least).select("doc_id")
+
+
+@query(f"{_T} SELECT doc_id, len([x FOR x IN k IF starts_with(x, 'thon')]) AS n FROM t WHERE len([x FOR x IN k IF starts_with(x, 'thon')]) > 0")
+def fts_prefix(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", fts.tokens(F.col("text")).alias("k"))
+    return docs.select("doc_id", fts.frequency(F.col("k"), "prefix", "thon").alias("n")).where("n > 0")
+
+
+@query(f"WITH t AS (SELECT doc_id, unnest({TOK}) AS term, generate_subscripts({TOK}, 1) AS pos FROM documents) SELECT a.doc_id, count(*) AS n FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY a.doc_id")
+def fts_phrase(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", fts.tokens(F.col("text")).alias("k"))
+    return docs.select("doc_id", fts.frequency(F.col("k"), "phrase", "of the").cast("long").alias("n")).where("n > 0")
+
+
+@query(f"WITH t AS (SELECT doc_id, unnest({TOK}) AS term, generate_subscripts({TOK}, 1) AS pos FROM documents) SELECT DISTINCT a.doc_id FROM t a JOIN t b ON a.doc_id = b.doc_id AND abs(a.pos - b.pos) <= 11 WHERE a.term = 'tion' AND b.term = 'with'")
+def fts_near(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", fts.tokens(F.col("text")).alias("k"))
+    return docs.where(fts.near(F.col("k"), ("tion", "with"), 10)).select("doc_id")
+
+
+def bm25_sql(units: list[tuple[str, str]]) -> str:
+    """CTEs m(doc_id, dl, tf0..) and b(doc_id, score, n_hit) of a query without phrases."""
+    tf = ", ".join(f"len([x FOR x IN k IF {'starts_with(x, ' + repr(t) + ')' if kind == 'prefix' else 'x = ' + repr(t)}]) AS tf{i}" for i, (kind, t) in enumerate(units))
+    n = ", ".join(f"count(*) FILTER (tf{i} > 0) AS n{i}" for i in range(len(units)))
+    score = " + ".join(f"(CASE WHEN ln((nd - n{i} + 0.5) / (n{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((nd - n{i} + 0.5) / (n{i} + 0.5)) END) * tf{i} * 2.2::DOUBLE / (tf{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))" for i in range(len(units)))
+    hit = " + ".join(f"(tf{i} > 0)::INT" for i in range(len(units)))
+    some = " OR ".join(f"tf{i} > 0" for i in range(len(units)))
+    return f"k AS (SELECT doc_id, {TOK} AS k FROM documents), m AS (SELECT doc_id, k, len(k) AS dl, {tf} FROM k), s AS (SELECT count(*)::DOUBLE AS nd, avg(dl::DOUBLE) AS avgdl, {n} FROM m), b AS (SELECT doc_id, k, round({score}, 10) AS score, {hit} AS n_hit FROM m, s WHERE {some})"
+
+
+TERMS = "ertion thinhe"
+UNITS = fts.compile_query(TERMS).units
+
+
+@query(f"WITH {bm25_sql(UNITS)} SELECT doc_id, score FROM b ORDER BY score DESC, doc_id LIMIT 20")
+def bm25_topk(spark, sf):
+    """The 20 best documents by BM25."""
+    return fts.scored(table(spark, sf, "documents"), fts.compile_query(TERMS)).orderBy(F.desc("score"), "doc_id").limit(20).select("doc_id", "score")
+
+
+_LEGS = """c AS (SELECT doc_id, score, n_hit, EXISTS (SELECT 1 FROM range(1, len(k) + 1) p(i), range(1, len(k) + 1) q(j) WHERE k[i] = 'ertion' AND k[j] = 'thinhe' AND abs(i - j) <= 11) AS is_near FROM b WHERE n_hit >= 2 UNION ALL SELECT doc_id, score, n_hit, false FROM b WHERE n_hit < 2),
+a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM c WHERE n_hit = 3 QUALIFY r <= 100), o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM c QUALIFY r <= 100), e AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM c WHERE is_near QUALIFY r <= 100),
+na AS (SELECT (SELECT count(*) FROM a) AS n_and, (SELECT count(*) FROM o) AS n_or),
+kw AS (SELECT doc_id, min(r)::INT AS kw_rank FROM (SELECT doc_id, r FROM a UNION ALL SELECT doc_id, r + n_and FROM o, na WHERE n_and < 100 UNION ALL SELECT doc_id, r + n_and + CASE WHEN n_and < 100 THEN n_or ELSE 0 END FROM e, na) GROUP BY doc_id)"""
+
+
+@query(f"WITH {bm25_sql(UNITS)}, {_LEGS} SELECT doc_id, kw_rank FROM kw")
+def keyword_ranks(spark, sf):
+    """Ranks over the AND, OR and NEAR legs."""
+    return fts.keyword_ranks(table(spark, sf, "documents"), fts.compile_query(TERMS), 100).select("doc_id", "kw_rank")
+
+
+# --- vectors ---
+
+_Q = "q AS (SELECT v AS q FROM v WHERE doc_id = 7)"
+
+
+def _query_vector(spark, sf):
+    return vectors(spark, sf).where("doc_id = 7").select(F.col("v").alias("q"))
+
+
+@query(f"WITH {V}, {_Q} SELECT doc_id, round(list_inner_product(v, q), 6) AS score FROM v, q ORDER BY score DESC, doc_id LIMIT 10")
+def knn_topk(spark, sf):
+    return vector.top_by_dot(vectors(spark, sf), _query_vector(spark, sf), 10)
+
+
+@query(f"WITH {V}, {_Q} SELECT doc_id, round(list_inner_product(v, q), 6) AS score FROM v, q WHERE doc_id <> 7 ORDER BY score DESC, doc_id LIMIT 5")
+def find_similar(spark, sf):
+    """Neighbours of a seed chunk, without it."""
+    return vector.top_by_dot(vectors(spark, sf).where("doc_id <> 7"), _query_vector(spark, sf), 5)
+
+
+@query(f"WITH {V}, {_Q} SELECT doc_id, round(list_inner_product(v, q), 6) AS score FROM v, q WHERE label IN (SELECT label FROM v GROUP BY label HAVING label % 2 = 0) ORDER BY score DESC, doc_id LIMIT 10")
+def knn_filtered(spark, sf):
+    """Neighbours among the vectors of some labels."""
+    v = vectors(spark, sf)
+    labels = v.where("label % 2 = 0").select("label").distinct()
+    return vector.top_by_dot(v.join(labels, "label", "left_semi"), _query_vector(spark, sf), 10)
+
+
+@query(f"WITH {V} SELECT doc_id, [round(x / sqrt(list_sum([y * y FOR y IN v])), 6) FOR x IN v] AS unit FROM v")
+def normalize_vectors(spark, sf):
+    return vectors(spark, sf).select("doc_id", F.transform(vector.normalize(F.col("v")), lambda x: F.round(x, 6)).alias("unit"))
+
+
+@query(f"WITH {V}, c AS (SELECT doc_id, v, list_min(v) AS low, (list_max(v) - list_min(v)) / 255 AS scale FROM v) SELECT doc_id, round(scale, 9) AS scale, list_max([abs(x - (round((x - low) / scale) * scale + low)) FOR x IN v]) <= scale / 2 + 1e-12 AS within FROM c")
+def int8_roundtrip_error(spark, sf):
+    c = vectors(spark, sf).select("doc_id", "v", vector.int8_codes(F.col("v")).alias("c"))
+    worst = F.array_max(F.zip_with("v", vector.int8_decode(F.col("c")), lambda x, y: F.abs(x - y)))
+    return c.select("doc_id", F.round("c.scale", 9).alias("scale"), (worst <= F.col("c.scale") / 2 + 1e-12).alias("within"))
+
+
+@query(f"WITH {V}, p AS (SELECT label, v, row_number() OVER (PARTITION BY label ORDER BY doc_id) - 1 AS p, count(*) OVER (PARTITION BY label) AS n FROM v), w AS (SELECT label, v, CASE WHEN p = n - 1 AND n > 2 THEN 1.2::DOUBLE WHEN p = 0 AND n > 1 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN n > 4 THEN 1 + 0.3::DOUBLE * (1 - 2 * abs(p / (n - 1) - 0.5)) ELSE 1 END AS w FROM p), f AS (SELECT label, w, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS dim FROM w) SELECT label, dim::INT AS dim, round(sum(x * w) / sum(w), 6) AS value FROM f GROUP BY ALL")
+def doc_centroids(spark, sf):
+    """Weighted mean vectors, with labels for documents."""
+    return vector.centroids(vectors(spark, sf), "label", "doc_id").select("label", "dim", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {V}, q AS (SELECT doc_id AS qid, v AS q FROM v WHERE doc_id < 4), s AS (SELECT label, qid, greatest(max(list_inner_product(v, q)), 0) AS best FROM v, q GROUP BY ALL) SELECT label, round(avg(best), 6) AS score FROM s GROUP BY label ORDER BY score DESC, label LIMIT 5")
+def maxsim_topk(spark, sf):
+    """Late interaction: the query's vectors against those of each label."""
+    v = vectors(spark, sf)
+    q = v.where("doc_id < 4").select(F.col("doc_id").alias("qid"), F.col("v").alias("q"))
+    return vector.max_sim(q, v, "label").orderBy(F.desc("score"), "label").limit(5)
+
+
+@query(f"WITH {V}, s AS (SELECT doc_id, label, round(list_inner_product(v, lag(v) OVER (PARTITION BY label ORDER BY doc_id)), 6) AS sim FROM v) SELECT doc_id, label, sim FROM s WHERE sim < 0.1")
+def semantic_boundaries(spark, sf):
+    """Where neighbouring chunks of a document are unlike."""
+    before = F.lag("v").over(Window.partitionBy("label").orderBy("doc_id"))
+    s = vectors(spark, sf).withColumn("b", before).where("b is not null")
+    return s.select("doc_id", "label", F.round(vector.dot(F.col("v"), F.col("b")), 6).alias("sim")).where("sim < 0.1")
+
+
+# --- ranking ---
+
+
+@query("SELECT doc_id, round(0.3::DOUBLE * exp(-0.693::DOUBLE * greatest(60 * 86400 - doc_id * 3600, 0) / 604800) / 61, 9) AS boost FROM documents")
+def recency_boost(spark, sf):
+    return corpus(spark, sf).select("doc_id", F.round(ranking.recency(F.col("age")), 9).alias("boost"))
+
+
+@query(f"WITH {D} SELECT doc_id, round(CASE WHEN contains(lower(path), 'src1') OR contains(lower(path), 'de/') THEN 1.0 / 61 ELSE 0 END::DOUBLE, 9) AS boost FROM d")
+def path_boost(spark, sf):
+    return corpus(spark, sf).select("doc_id", F.round(ranking.path_boost(F.col("path"), ["src1", "de/"]), 9).alias("boost"))
+
+
+@query(f"WITH {V}, {_Q}, s AS (SELECT doc_id, label, round(list_inner_product(v, q), 6) AS score FROM v, q), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, doc_id) AS nth FROM s) SELECT doc_id, label, score FROM r ORDER BY (nth > 1), score DESC, doc_id LIMIT 15")
+def diverse_topk(spark, sf):
+    """The best of each label first."""
+    s = vectors(spark, sf).crossJoin(F.broadcast(_query_vector(spark, sf))).select("doc_id", "label", F.round(vector.dot(F.col("v"), F.col("q")), 6).alias("score"))
+    return ranking.diverse(s, "label", "score", "doc_id", 15).select("doc_id", "label", "score")
+
+
+_POOL = f"""sc AS (SELECT doc_id, round(list_inner_product(v, q), 6) AS sim FROM v JOIN documents USING (doc_id), q),
+pool AS (SELECT doc_id, kw_rank, coalesce(sim, 0) AS sim FROM kw LEFT JOIN sc USING (doc_id) UNION ALL (SELECT doc_id, 0, sim FROM sc WHERE doc_id NOT IN (SELECT doc_id FROM kw) ORDER BY sim DESC, doc_id LIMIT 5)),
+rk AS (SELECT *, row_number() OVER (ORDER BY sim DESC, kw_rank, doc_id) AS vec_rank FROM pool),
+fl AS (SELECT max((kw_rank > 0)::INT) AS hk, max((kw_rank = 0 OR sim <> 0)::INT) AS hv FROM rk),
+fu AS (SELECT doc_id, path, collection, round((1.0::DOUBLE / (60 + vec_rank) + CASE WHEN kw_rank > 0 THEN 1.0::DOUBLE / (60 + kw_rank) ELSE 0 END + 0.3::DOUBLE * exp(-0.693::DOUBLE * greatest(age, 0) / 604800) / 61 + CASE WHEN contains(lower(path), 'ertion') OR contains(lower(path), 'thinhe') THEN 1.0::DOUBLE / 61 ELSE 0 END) / ((hk + hv + 1.3::DOUBLE) / 61), 6) AS score FROM rk JOIN d USING (doc_id), fl)"""
+
+
+@query(f"WITH {D}, {V}, {_Q}, {bm25_sql(UNITS)}, {_LEGS}, {_POOL}, dv AS (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY score DESC, doc_id) AS nth FROM fu) SELECT doc_id, path, score FROM dv ORDER BY (nth > 1), score DESC, doc_id LIMIT 5")
+def hybrid_search(spark, sf):
+    """Keyword and vector search, fused, boosted, normalised and made diverse."""
+    return hybrid(corpus(spark, sf), vectors(spark, sf), TERMS, _query_vector(spark, sf), 5)
+
+
+@query(f"WITH {D}, {bm25_sql(UNITS)} SELECT collection, count(*) AS hits, max(score) AS best FROM b JOIN d USING (doc_id) GROUP BY collection")
+def summarize_matches(spark, sf):
+    """Matches by collection."""
+    found = fts.scored(table(spark, sf, "documents"), fts.compile_query(TERMS))
+    return found.join(corpus(spark, sf).select("doc_id", "collection"), "doc_id").groupBy("collection").agg(F.count("*").alias("hits"), F.max("score").alias("best"))
+
+
+@query("WITH s AS (SELECT event_type || '/' || user_id AS path, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1 HAVING count(*) >= 2) SELECT path, round(n / max(n) OVER (), 6) AS boost FROM s")
+def feedback_boosts(spark, sf):
+    """Paths that were selected twice or more, against the most selected one."""
+    s = table(spark, sf, "events").where("event_type = 'click'").groupBy(F.concat_ws("/", "event_type", "user_id").alias("path")).agg(F.count("*").alias("n")).where("n >= 2")
+    return s.crossJoin(F.broadcast(s.agg(F.max("n").alias("most")))).select("path", F.round(F.col("n") / F.col("most"), 6).alias("boost"))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (event_type = 'click') AS selected FROM events")
+def feedback_stats(spark, sf):
+    return table(spark, sf, "events").agg(F.count("*").alias("total"), F.count_if(F.col("event_type") == "click").alias("selected"))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 5")
+def ring_buffer(spark, sf):
+    """The last five events of each user."""
+    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    return table(spark, sf, "events").withColumn("rn", F.row_number().over(w)).where("rn <= 5").select("user_id", "event_id", "event_type")
+
+
+# --- events ---
+
+
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
+def latest_event_per_key(spark, sf):
+    return live.latest(table(spark, sf, "events"), "user_id", "ts", "event_id").select("user_id", "event_id")
+
+
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g), c AS (SELECT user_id, s, count(*) AS n FROM s GROUP BY ALL) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY user_id")
+def debounce_sessions(spark, sf):
+    """Events of a user that follow within an hour are one."""
+    s = live.debounce(table(spark, sf, "events"), "user_id", "ts", "event_type", "1 hour")
+    return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
+
+
+@query("SELECT user_id, count(*) AS attempts, CASE WHEN count(*) <= 3 THEN 2 * count(*) END AS delay_s, CASE WHEN count(*) <= 3 THEN 'retry' ELSE 'quarantine' END AS state FROM events WHERE value < 10 GROUP BY user_id")
+def retry_quarantine(spark, sf):
+    return live.retry_state(table(spark, sf, "events").where("value < 10"), "user_id")
+
+
+# --- queries as data ---
+
+_W = r"w AS (SELECT conv_id, turn, string_split_regex(trim(text, E' \t\n\r'), '[ \t\n\r]+') AS w FROM conversations WHERE text IS NOT NULL), c AS (SELECT conv_id, turn, len(w) AS n, len([x FOR x IN w IF regexp_matches(x, '[a-z][A-Z]') OR (contains(x, '_') AND x <> '_') OR contains(x, '.')]) AS ids FROM w)"
+
+
+@query(f"WITH {_W} SELECT conv_id, turn, CASE WHEN n <= 2 AND ids = n THEN 1.5 WHEN n = 1 THEN 1.2 WHEN ids > n // 2 THEN 1.3 WHEN n >= 4 THEN 0.7 ELSE 1.0 END::DOUBLE AS kw, CASE WHEN n <= 2 AND ids = n THEN 0.6 WHEN n = 1 THEN 0.9 WHEN ids > n // 2 THEN 0.8 WHEN n >= 4 THEN 1.4 ELSE 1.0 END::DOUBLE AS vec FROM c")
+def query_weights(spark, sf):
+    """Adaptive weights of every conversation turn, as if it were a query."""
+    words = F.split(F.regexp_replace("text", r"^[ \t\n\r]+|[ \t\n\r]+$", ""), r"[ \t\n\r]+")
+    c = table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", words.alias("w"))
+    is_id = lambda x: x.rlike("[a-z][A-Z]") | (x.contains("_") & (x != "_")) | x.contains(".")
+    n, ids = F.size("w"), F.size(F.filter("w", is_id))
+
+    def pick(*values: float):
+        return F.when((n <= 2) & (ids == n), values[0]).when(n == 1, values[1]).when(ids > F.floor(n / 2), values[2]).when(n >= 4, values[3]).otherwise(1.0)
+
+    return c.select("conv_id", "turn", pick(1.5, 1.2, 1.3, 0.7).alias("kw"), pick(0.6, 0.9, 0.8, 1.4).alias("vec"))
+
+
+@query("SELECT least(quality, toxic) AS worst, count(*) AS n FROM labels GROUP BY 1")
+def worst_status(spark, sf):
+    """The worse of two states, counted."""
+    return table(spark, sf, "labels").groupBy(F.least("quality", "toxic").alias("worst")).agg(F.count("*").alias("n"))
+
+
+# --- texts (checked against Python in tests) ---
+
+
+@query()
+def chunk_documents(spark, sf):
+    """Chunks of 128 words with an overlap of 15 % of every document."""
+    docs = table(spark, sf, "documents").select("doc_id", F.explode(Splitter(128).column(F.col("text"))).alias("c"))
+    return docs.select("doc_id", "c.chunk_index", "c.heading", "c.content")
+
+
+@query()
+def sentence_split(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.posexplode(sentence_array("text")).alias("position", "sentence"))
+    return docs
+
+
+@query()
+def html_extract(spark, sf):
+    """Text of every page by the reader of files."""
+    return table(spark, sf, "pages").select("page_id", html_column("html").alias("text"))
