@@ -10,8 +10,9 @@ visits are widened until the leaves visited hold at least `target_recall` of the
 Every vector is a query. Within the leaves it visits distances are exact; the k least, ties by
 id, are the result; the vector itself is no neighbour, other rows with the same vector are.
 
-Scale: one shuffle of (leaf, id, vector), each vector once as a point and once for each leaf its query visits, and one
-of the k best of each leaf by query. The tree is bounded by the sample and is sent to the executors.
+Scale: neighbouring leaves share a bucket of about `bucket_size` vectors. One shuffle of (bucket, id, vector), each vector
+once as a point and once for each bucket in which its query visits leaves, and one of the k best of each
+bucket by query. The tree is bounded by the sample and is sent to the executors.
 
 Defined cases: rows with a null id, a null vector, a null or not finite element or another dimension than the
 commonest (the least of several) are neither points nor queries; rows that share an id are points each, and
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,8 +93,10 @@ class Tree:
             todo += [(c, rows[to == j]) for j, c in enumerate(children) if (to == j).any()]
         return out
 
-    def visits(self, x: np.ndarray, most: int) -> np.ndarray:
+    def visits(self, x: np.ndarray, most: int, ordered: bool = False) -> np.ndarray:
         """The first `most` leaves that a best-bin-first traversal visits, for each vector."""
+        if most >= self.leaves and not ordered:
+            return np.tile(np.arange(self.leaves), (len(x), 1))
         most = min(most, self.leaves)
         out = np.empty((len(x), most), np.int64)
         for i, d in enumerate(self.distances(x).tolist()):
@@ -100,10 +104,10 @@ class Tree:
             for k in range(most):
                 node = heapq.heappop(queue)[1]
                 while self.children[node]:
-                    ordered = sorted((d[c], c) for c in self.children[node])
-                    for other in ordered[1:]:
+                    near = sorted((d[c], c) for c in self.children[node])
+                    for other in near[1:]:
                         heapq.heappush(queue, other)
-                    node = ordered[0][1]
+                    node = near[0][1]
                 out[i, k] = self.leaf[node]
         return out
 
@@ -112,13 +116,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _nearest(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(row of queries, ids, distances) of the k nearest points."""
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy()
+
+
+def _nearest(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, allowed: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row of queries, ids, distances) of the k nearest points, of those that are allowed."""
     norms = (points**2).sum(1)
     for begin in range(0, len(queries), 512):
         q = queries[begin : begin + 512]
         d = norms - 2 * q @ points.T + (q**2).sum(1)[:, None]
         d[own[begin : begin + 512][:, None] == ids] = np.inf
+        if allowed is not None:
+            d[~allowed[begin : begin + 512]] = np.inf
         # the rounding of these distances can't push a neighbour out of twice as many
         m = min(2 * k + 8, len(points))
         near = np.argpartition(d, m - 1, axis=1)[:, :m] if m < len(points) else np.tile(np.arange(len(points)), (len(q), 1))
@@ -156,7 +166,7 @@ def brute_force(rows: DataFrame, queries: list[tuple[int, list[float]]], k: int)
     return {r["q"]: [(x["d"], x["id"], x["v"]) for x in r["near"]] for r in best.toLocalIterator()}
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 10, id_column: str = "vec_id", column: str = "embedding", branching: int = 8, leaf_size: int = 128, max_sample: int = 20_000, calibration: int = 128, target_recall: float = 0.97) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, k: int = 10, id_column: str = "vec_id", column: str = "embedding", branching: int = 8, leaf_size: int = 128, max_sample: int = 20_000, calibration: int = 128, target_recall: float = 0.97, bucket_size: int = 4096) -> DataFrame:
     """(id, neighbours) for every vector; neighbours lists (id, distance) from the nearest on."""
     rows = cut(clean(vectors, id_column, column))
     total = rows.count()
@@ -168,7 +178,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, id_column: str = "vec_id
     tree = Tree(np.array([v for _, v in sample]), total, branching, leaf_size)
     queries = list(dict(sample[:calibration]).items())
     exact = brute_force(rows, queries, k)
-    order = tree.visits(np.array([v for _, v in queries]), tree.leaves)
+    order = tree.visits(np.array([v for _, v in queries]), tree.leaves, True)
     ranks = []
     for (i, _), leaves in zip(queries, order):
         near = exact.get(i, [])
@@ -177,40 +187,61 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, id_column: str = "vec_id
             rank[leaves] = np.arange(tree.leaves)
             ranks += rank[tree.assign(np.array([v for _, _, v in near]))].tolist()
     visits = int(np.quantile(ranks, target_recall, method="inverted_cdf")) + 1 if ranks else 1
+    # leaves next to each other in the tree share a bucket: a query goes once to each bucket, not to each leaf
+    buckets = max(1, min(tree.leaves, total // bucket_size))
     sent = rows.sparkSession.sparkContext.broadcast(tree)
+    placed_schema = "bucket long, is_query boolean, id long, v array<double>, leaves array<long>"
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 4096):
-                part = batch.slice(begin, 4096)
+            step = max(1, 100_000 // visits)
+            for begin in range(0, batch.num_rows, step):
+                part = batch.slice(begin, step)
                 x = _matrix(part.column("v"))
-                leaves = sent.value.visits(x, visits)
-                row = np.concatenate([np.arange(len(x)), np.repeat(np.arange(len(x)), leaves.shape[1])])
-                leaf = np.concatenate([sent.value.assign(x), leaves.ravel()])
-                is_query = np.arange(len(row)) >= len(x)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(is_query), part.column("id").take(pa.array(row)), part.column("v").take(pa.array(row))], names=["leaf", "is_query", "id", "v"])
+                own = sent.value.assign(x)
+                row = np.repeat(np.arange(len(x)), min(visits, tree_leaves))
+                leaf = sent.value.visits(x, visits).ravel()
+                order = np.argsort(row * buckets + leaf * buckets // tree_leaves, kind="stable")
+                row, leaf = row[order], leaf[order]
+                bucket = leaf * buckets // tree_leaves
+                first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])]))
+                rows_ = np.concatenate([np.arange(len(x)), row[first]])
+                offsets = np.concatenate([np.arange(len(x)), len(x) + first, [len(x) + len(leaf)]]).astype(np.int32)
+                leaves = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([own, leaf])))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([own * buckets // tree_leaves, bucket[first]])), pa.array(np.arange(len(rows_)) >= len(x)), part.column("id").take(pa.array(rows_)), part.column("v").take(pa.array(rows_)), leaves], names=["bucket", "is_query", "id", "v", "leaves"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches, "leaf"):
-            group = group.combine_chunks()
-            leaf, is_query = group.column("leaf").to_numpy(), group.column("is_query").to_numpy()
-            ids, v = group.column("id").to_numpy(), _matrix(group.column("v").combine_chunks())
-            bounds = [0, *(np.flatnonzero(np.diff(leaf)) + 1).tolist(), len(leaf)]
+        for group in whole_groups(batches, "bucket"):
+            bucket = group.column("bucket").to_numpy()
+            bounds = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
             for a, b in zip(bounds[:-1], bounds[1:]):
-                q = is_query[a:b]
-                points, queries = v[a:b][~q], v[a:b][q]
+                whole = group.slice(a, b - a)
+                points = whole.filter(pc.invert(whole.column("is_query"))).combine_chunks()
+                queries = whole.filter(whole.column("is_query"))
                 if not len(points) or not len(queries):
                     continue
-                own = ids[a:b][q]
-                found = list(_nearest(points, ids[a:b][~q], queries, own, k))
-                sizes = np.array([len(n) for _, n, _ in found])
-                near = pa.StructArray.from_arrays([pa.array(np.concatenate([d for _, _, d in found])), pa.array(np.concatenate([n for _, n, _ in found]))], ["d", "id"])
-                yield pa.RecordBatch.from_arrays([pa.array(own[[r for r, _, _ in found]]), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), near)], names=["q", "near"])
-
+                leaf = _flat(points.column("leaves"))
+                known, where = np.unique(leaf, return_inverse=True)
+                v, ids = _matrix(points.column("v").combine_chunks()), points.column("id").to_numpy()
+                for begin in range(0, len(queries), 512):
+                    part = queries.slice(begin, 512).combine_chunks()
+                    own, asked = part.column("id").to_numpy(), part.column("leaves").combine_chunks()
+                    of = np.repeat(np.arange(len(part)), np.asarray(pc.list_value_length(asked)))
+                    flat = asked.flatten().to_numpy()
+                    at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                    hit = known[at] == flat  # a leaf may have no point
+                    visited = np.zeros((len(part), len(known)), bool)
+                    visited[of[hit], at[hit]] = True
+                    found = list(_nearest(v, ids, _matrix(part.column("v").combine_chunks()), own, k, visited[:, where]))
+                    sizes = np.array([len(n) for _, n, _ in found])
+                    near = pa.StructArray.from_arrays([pa.array(np.concatenate([d for _, _, d in found])), pa.array(np.concatenate([n for _, n, _ in found]))], ["d", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(own[[r for r, _, _ in found]]), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), near)], names=["q", "near"])
+
+    tree_leaves = tree.leaves
     single = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() == 0
-    placed = map_arrow(rows, spread, "leaf long, is_query boolean, id long, v array<double>")
+    placed = map_arrow(rows, spread, placed_schema)
     if not single:  # rows that share an id are one query
-        placed = placed.where("not is_query").unionByName(map_arrow(rows.groupBy("id").agg(F.min("v").alias("v")), spread, "leaf long, is_query boolean, id long, v array<double>").where("is_query"))
-    best = map_arrow(placed.repartition("leaf").sortWithinPartitions("leaf"), compare, "q long, near array<struct<d: double, id: bigint>>")
-    merged = best.groupBy("q").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
+        placed = placed.where("not is_query").unionByName(map_arrow(rows.groupBy("id").agg(F.min("v").alias("v")), spread, placed_schema).where("is_query"))
+    best = map_arrow(placed.repartition("bucket").sortWithinPartitions("bucket"), compare, "q long, near array<struct<d: double, id: bigint>>")
+    merged = best.groupBy("q").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
     return merged.select(F.col("q").alias(id_column), F.transform("near", lambda x: F.struct(x["id"].alias("id"), x["d"].alias("distance"))).alias("neighbours"))
