@@ -76,7 +76,7 @@ class Models:
             key, _ = letters(texts[language])
             models.append(estimate(*np.unique(key, return_counts=True), N, BITS, self.size))
         self.keys, self.logp, self.contexts, self.backoff = [], [], [], []
-        for k in range(N):
+        for k in range(N if models else 0):
             keys = np.unique(np.concatenate([m[k].keys for m in models]))
             contexts = np.unique(np.concatenate([m[k].contexts for m in models]))
             backoff = np.zeros((len(contexts), len(models)))
