@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ABBREVIATIONS = frozenset("dr mr mrs ms prof sr jr st vs etc e.g i.e fig no vol inc ltd co corp dept approx".split())
 LABELS = ("[Page ", "[Slide ", "[Sheet ", "[Document]", "[Header ", "[Footer ")
@@ -139,7 +140,7 @@ class Splitter:
         return run(text)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def sentence_array(texts: pd.Series) -> pd.Series:
     """Sentences of a text column."""
     return pd.Series([sentences(t) if t else [] for t in texts])

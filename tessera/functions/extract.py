@@ -12,6 +12,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TEXT_LIMIT = 8 << 20
 TEXT = frozenset("txt md rst py go rs js ts tsx jsx java kt c h cc cpp hpp cs rb php sh sql css json yaml yml toml ini cfg xml csv tsv log tex r swift scala lua pl".split())
@@ -229,7 +230,7 @@ def extract_column(path: Column, content: Column) -> Column:
     return run(path, content)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_column(pages: pd.Series) -> pd.Series:
     """Text of HTML pages."""
     return pd.Series([None if p is None else html_text(p) for p in pages])

@@ -69,33 +69,6 @@ def frequency(toks: Column, kind: str, text: str) -> Column:
     return F.regexp_count(joined, F.lit(f"(?<= ){text}(?= )"))
 
 
-def near(self) -> bool:
-        return 2 <= len(self.terms) <= 4 and not self.phrases
-
-
-def compile_query(text: str) -> Query:
-    """Parse a query: quoted phrases, then words in order of appearance without repeats, with the parts of identifiers."""
-    phrases = [" ".join(w for w in re.findall(r"[^\W_]+", p.lower()) if p) for p in re.findall(r'"([^"]+)"', text)]
-    rest = re.sub(r'"[^"]+"', " ", text)
-    terms: list[str] = []
-    for word in re.findall(r"\w+", rest):
-        whole = word.lower()
-        (phrases if "_" in whole.strip("_") else terms).append(" ".join(p for p in whole.split("_") if p))
-        terms += split_identifier(word)
-    return Query(tuple(dict.fromkeys(p for p in phrases if p)), tuple(dict.fromkeys(t for t in terms if t)))
-
-
-def frequency(toks: Column, kind: str, text: str) -> Column:
-    """How often a unit occurs in a token array."""
-    if kind == "prefix":
-        return F.size(F.filter(toks, lambda t: t.startswith(text)))
-    if kind == "term":
-        return F.size(F.filter(toks, lambda t: t == text))
-    words = text.split()
-    same = lambda x, i: F.forall(F.arrays_zip(F.slice(toks, i + 1, len(words)).alias("a"), F.array(*map(F.lit, words)).alias("b")), lambda p: F.coalesce(p["a"] == p["b"], F.lit(False)))
-    return F.size(F.filter(toks, same))
-
-
 def near(toks: Column, terms: tuple[str, ...], window: int) -> Column:
     """Some occurrence of every term with at most `window` tokens between the outermost two."""
     span = window + 2
