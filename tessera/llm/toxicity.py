@@ -1,14 +1,14 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, with a block-max inverted index.
 
 The classifier is fitted on a bounded sample of labelled documents (`max_examples` of each class, those
-with the least hash of their doc_id). Features are words and the first 4, 5 and 6 bytes of longer
-words; those whose presence depends on the label (likelihood ratio above `2 * ln(features)`, and at least
-`min_lift` times as frequent in one class) are kept. Their document frequencies are
-counted over all documents. Weights are (1 + ln tf) * (1 + ln((1 + N) / (1 + df))), of length 1.
+with the least hash of their doc_id). Terms are words and the first 4, 5 and 6 bytes of longer words; all terms of
+the examples count, and their document frequencies are counted over all documents. Weights are
+(1 + ln tf) * (1 + ln((1 + N) / (1 + df))), of length 1. Terms at least `min_lift` times as frequent in one class weigh
+more, by 1 + (likelihood ratio of presence and label) / (2 * ln(terms)); no term is left out.
 
-The index keeps the postings of each feature by example and, for each feature and block of
-`BLOCK` examples, the largest weight. A query adds these up to a bound for each block and visits the
-blocks from the highest bound down, until no other block can reach its k-th best example: the result is exact.
+The index adds the postings of rare terms up exactly; for frequent ones it keeps, for each block of `BLOCK` examples,
+the largest weight. The two give a bound for each block; blocks that can't reach a query's k-th best
+example are passed over: the result is exact.
 
 Each of the k nearest examples votes with its cosine (1 - distance) against the prior. Votes are
 calibrated by a logistic curve that is fitted on the examples themselves, each without its own vote,
@@ -17,7 +17,7 @@ weighted by the frequency of the classes. The examples that voted are the eviden
 Scale: three passes over the text (sample, frequencies, scores), no shuffle of text; what is sent to
 the executors is bounded by the sample.
 
-Defined cases: null, empty and unknown texts have no neighbour and the score of an empty vote; each row
+Defined cases: null and empty texts and those without a term of any example have no neighbour and the score of an empty vote; terms that no example has are outside of the space; each row
 is judged by its own text, also where rows share a doc_id or have none; labels other than 0 and 1 are
 no examples; a doc_id with both labels counts as toxic; without examples of both classes every
 score is 0. Other columns are ignored, and pass through drop_toxic unchanged.
@@ -33,11 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut, keep_rows, map_arrow, text_slices
+from .runtime import _release, cut, keep_rows, map_arrow, text_slices
 from .textops import stems
 
 PREFIXES = (4, 5, 6)
 BLOCK = 32
+#: Blocks visited at once, queries searched at once, and the share of the examples that makes a term a frequent one.
+VISIT, TOGETHER, FREQUENT = 16, 64, 0.1
+#: Scores are compared in units of 1 / SCALE; the low bits hold the row.
+SCALE, TIES = 1e9, 22
 PRIOR_WEIGHT = 1.0
 _U = np.uint64
 
@@ -55,85 +59,110 @@ def features(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def known_features(texts: list, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, index in the vocabulary, times) of the features of each text that the sorted vocabulary has."""
-    if not len(vocabulary):
+    owner, value, times = features(texts)
+    if not len(vocabulary) or not len(value):
         none = np.zeros(0, np.int64)
         return none, none, none
-    value, owner = stems(texts, PREFIXES)
-    # the vocabulary is small: its high bits tell nearly all other words apart
-    seen = np.zeros(1 << 16, bool)
-    seen[(vocabulary >> _U(48)).astype(np.int64)] = True
-    maybe = np.flatnonzero(seen[(value >> _U(48)).astype(np.int64)])
-    value, owner = value[maybe], owner[maybe]
     at = np.searchsorted(vocabulary, value)
     at[at == len(vocabulary)] = 0
     hit = vocabulary[at] == value
-    pair, times = np.unique(owner[hit] * len(vocabulary) + at[hit], return_counts=True)
-    return pair // len(vocabulary), pair % len(vocabulary), times
+    return owner[hit], at[hit], times[hit]
+
+
+def _spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All positions of the ranges that begin at `begin`."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 class Index:
-    """Block-max inverted index of unit vectors."""
+    """Block-max inverted index of unit vectors: exact sums over rare terms, block maxima of frequent ones."""
 
     def __init__(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_rows: int, n_terms: int) -> None:
         self.n, self.terms = n_rows, n_terms
         self.blocks = max(1, -(-n_rows // BLOCK))
+        df = np.bincount(terms, minlength=n_terms)
+        often = df > n_rows * FREQUENT
+        self.place = np.where(often, np.cumsum(often) - 1, -1)
+        dense = often[terms]
+        self.dense = np.zeros((int(often.sum()), self.blocks * BLOCK))
+        self.dense[self.place[terms[dense]], rows[dense]] = weights[dense]
+        self.top = self.dense.reshape(-1, self.blocks, BLOCK).max(axis=2, initial=0)
+        rows, terms, weights = rows[~dense], terms[~dense], weights[~dense]
         order = np.lexsort((rows, terms))
-        self.row, self.weight = rows[order], weights[order]
-        key = terms[order] * self.blocks + self.row // BLOCK
-        # where the postings of each feature in each block begin and end
-        self.begin = np.searchsorted(key, np.arange(n_terms * self.blocks)).reshape(n_terms, self.blocks)
-        self.end = np.searchsorted(key, np.arange(n_terms * self.blocks), side="right").reshape(n_terms, self.blocks)
-        self.top = np.zeros((n_terms, self.blocks))
-        np.maximum.at(self.top, (terms[order], self.row // BLOCK), self.weight)
+        self.row, self.weight = rows[order].astype(np.int32), weights[order]
+        self.begin = np.concatenate([[0], np.cumsum(np.where(often, 0, df))])
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples with the highest positive cosine, ties by row."""
-        bound = weights @ self.top[terms]
-        order = np.argsort(-bound, kind="stable")
-        found, score = np.zeros(0, np.int64), np.zeros(0)
-        done, step = 0, 4
-        while done < len(order) and bound[order[done]] > 0:
-            if len(score) == k and bound[order[done]] < score[-1] - 1e-12:
-                break
-            visit = order[done : done + step]
-            done, step = done + step, step * 2
-            begin, end = self.begin[terms][:, visit].ravel(), self.end[terms][:, visit].ravel()
-            size = end - begin
-            at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            weight = np.repeat(np.repeat(weights, len(visit)), size) * self.weight[at]
-            rows, where = np.unique(self.row[at], return_inverse=True)
-            sums = np.round(np.bincount(where, weights=weight, minlength=len(rows)), 9)
-            keep = (sums > 0) & (rows != without)
-            found, score = np.concatenate([found, rows[keep]]), np.concatenate([score, sums[keep]])
-            best = np.lexsort((found, -score))[:k]
-            found, score = found[best], score[best]
-        return found, score
+        return self.nearest_of(np.zeros(len(terms), np.int64), terms, weights, 1, k, np.array([without]))[0]
+
+    def nearest_of(self, owner: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, k: int, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """nearest() of n queries, given as (query, term, weight) in order of queries."""
+        width = self.blocks * BLOCK
+        place = self.place[terms]
+        often = place >= 0
+        query = np.zeros((n, len(self.dense)))
+        query[owner[often], place[often]] = weights[often]
+        begin, size = self.begin[terms[~often]], np.diff(self.begin)[terms[~often]]
+        at = _spans(begin, size)
+        sums = np.bincount(np.repeat(owner[~often] * width, size) + self.row[at], np.repeat(weights[~often], size) * self.weight[at], n * width).reshape(n, width)
+        bound = query @ self.top + sums.reshape(n, self.blocks, BLOCK).max(axis=2) + 1e-8
+        # scores as integers that also order ties by row; only positive ones count
+        best = np.zeros((n, k), np.int64)
+        spans = [np.arange(b, min(b + VISIT, self.blocks)) for b in range(0, self.blocks, VISIT)]
+        reach = np.stack([bound[:, g].max(axis=1) for g in spans], 1)
+        for i in np.argsort(-reach.mean(axis=0), kind="stable"):
+            active = np.flatnonzero(reach[:, i] >= (best[:, 0] >> TIES) / SCALE)
+            if not len(active):
+                continue
+            a, b = spans[i][0] * BLOCK, (spans[i][-1] + 1) * BLOCK
+            score = np.rint((sums[active, a:b] + query[active] @ self.dense[:, a:b]) * SCALE).astype(np.int64)
+            key = np.where(score > 0, score << TIES | ((1 << TIES) - 1 - np.arange(a, b)), 0)
+            if without is not None:
+                key[np.arange(a, b) == without[active, None]] = 0
+            both = np.concatenate([best[active], key], 1)
+            best[active] = np.sort(np.partition(both, both.shape[1] - k, axis=1)[:, -k:], axis=1)
+        out = []
+        for keys in best[:, ::-1]:
+            keys = keys[keys > 0]
+            out.append(((1 << TIES) - 1 - (keys & ((1 << TIES) - 1)), (keys >> TIES) / SCALE))
+        return out
 
 
 class Model:
     """Examples, frequencies and the calibrated vote."""
 
-    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], base_rate: float, k: int) -> None:
+    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, ids: np.ndarray, toxic: np.ndarray, row: np.ndarray, term: np.ndarray, times: np.ndarray, base_rate: float, k: int) -> None:
+        """Examples have the features (row, term, times), in order of rows; idf has the weight of the label, too."""
         self.vocabulary, self.idf, self.k, self.base = vocabulary, idf, k, base_rate
-        # examples with the same features share blocks, so that bounds are tight
-        examples = sorted(examples, key=lambda e: (e[2].tolist(), e[0]))
-        self.ids = np.array([e[0] for e in examples], np.int64)
-        self.toxic = np.array([e[1] for e in examples], float)
-        vectors = [self.weigh(e[2], e[3]) for e in examples]
-        sizes = [len(e[2]) for e in examples]
-        rows = np.repeat(np.arange(len(examples)), sizes)
-        empty = np.zeros(0)
-        self.index = Index(rows, np.concatenate([e[2] for e in examples] or [empty]).astype(np.int64), np.concatenate(vectors or [empty]), len(examples), len(vocabulary))
+        weight = self.weigh(row, term, times, len(ids))
+        # examples with the same frequent feature of the highest weight share blocks, so that bounds are tight
+        often = np.bincount(term, minlength=len(vocabulary))[term] > len(ids) * FREQUENT
+        lead = np.full(len(ids), -1)
+        by_weight = np.flatnonzero(often)[np.argsort(weight[often], kind="stable")]
+        lead[row[by_weight]] = term[by_weight]
+        order = np.lexsort((ids, lead))
+        back = np.argsort(order)
+        self.ids, self.toxic = ids[order], toxic[order].astype(float)
+        by_row = np.argsort(back[row], kind="stable")
+        row, term, weight = back[row][by_row], term[by_row], weight[by_row]
+        self.index = Index(row, term, weight, len(ids), len(vocabulary))
         self.slope, self.shift = 0.0, -50.0
         if 0 < self.toxic.sum() < len(self.toxic):
-            raw = np.array([self.vote(*self.index.nearest(e[2], v, k, i)) for i, (e, v) in enumerate(zip(examples, vectors))])
+            raw = np.array([self.vote(*found) for found in self._search(row, term, weight, len(ids), np.arange(len(ids)))])
             share = np.where(self.toxic > 0, base_rate / self.toxic.sum(), (1 - base_rate) / (len(self.toxic) - self.toxic.sum()))
             self.slope, self.shift = _logistic(raw, self.toxic, share * len(self.toxic))
 
-    def weigh(self, terms: np.ndarray, times: np.ndarray) -> np.ndarray:
-        weight = (1 + np.log(times)) * self.idf[terms]
-        norm = math.sqrt(float(weight @ weight))
-        return weight / norm if norm else weight
+    def weigh(self, owner: np.ndarray, term: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
+        weight = (1 + np.log(times)) * self.idf[term]
+        norm = np.sqrt(np.bincount(owner, weight * weight, n))
+        return weight / np.where(norm > 0, norm, 1)[owner]
+
+    def _search(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, without: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for a in range(0, n, TOGETHER):
+            b = min(n, a + TOGETHER)
+            s = slice(*np.searchsorted(owner, [a, b]))
+            yield from self.index.nearest_of(owner[s] - a, term[s], weight[s], b - a, self.k, None if without is None else without[a:b])
 
     def vote(self, rows: np.ndarray, cosine: np.ndarray) -> float:
         return float((cosine @ self.toxic[rows] + PRIOR_WEIGHT * self.base) / (cosine.sum() + PRIOR_WEIGHT))
@@ -141,11 +170,8 @@ class Model:
     def score(self, texts: list) -> tuple[np.ndarray, list[list[dict]]]:
         """Calibrated scores and evidence of texts."""
         owner, term, times = known_features(texts, self.vocabulary)
-        bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
         raw, evidence = np.full(len(texts), self.base), [[] for _ in texts]
-        for i in np.flatnonzero(np.diff(bounds)):
-            a, b = bounds[i], bounds[i + 1]
-            rows, cosine = self.index.nearest(term[a:b], self.weigh(term[a:b], times[a:b]), self.k)
+        for i, (rows, cosine) in enumerate(self._search(owner, term, self.weigh(owner, term, times, len(texts)), len(texts))):
             raw[i] = self.vote(rows, cosine)
             evidence[i] = [{"doc_id": int(self.ids[r]), "toxic": int(self.toxic[r]), "cosine": round(float(c), 6)} for r, c in zip(rows, cosine)]
         return 1 / (1 + np.exp(-(self.slope * raw + self.shift))), evidence
@@ -181,39 +207,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 2000, k: int = 1
     # at most 2 * max_examples rows
     sample = cut(_texts(docs).where("text is not null").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("doc_id", "text", "toxic").repartition(16, "doc_id"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch):
-                owner, value, _ = features(part.column("text").to_pylist())
-                toxic = part.column("toxic").to_numpy()[owner]
-                which, where = np.unique(value, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(which.view(np.int64)), pa.array(np.bincount(where, toxic, len(which)).astype(np.int64)), pa.array(np.bincount(where, minlength=len(which)).astype(np.int64))], names=["feature", "toxic", "n"])
-
-    counts = cut(map_arrow(sample, count, "feature long, toxic long, n long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")))
-    size = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
-    pos, neg = int(size["toxic"]), int(size["n"]) - int(size["toxic"])
-    vocabulary = np.zeros(0, _U)
-    if pos and neg:
-        a, b = F.col("toxic").cast("double"), (F.col("n") - F.col("toxic")).cast("double")
-        total, n = float(pos + neg), F.col("n").cast("double")
-
-        def cell(seen, expected):
-            return F.when(seen > 0, seen * F.ln(seen / expected)).otherwise(0.0)
-
-        ratio = 2 * (cell(a, n * pos / total) + cell(b, n * neg / total) + cell(pos - a, (total - n) * pos / total) + cell(neg - b, (total - n) * neg / total))
-        more, less = (a + 0.5) / (pos + 1), (b + 0.5) / (neg + 1)
-        chosen = counts.where(F.greatest(more / less, less / more) >= min_lift).where(ratio >= 2 * math.log(max(2, counts.count())))
-        vocabulary = np.sort(np.array([r[0] for r in chosen.select("feature").toLocalIterator()], np.int64).view(_U))
-
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
-                owner, term, times = known_features(part.column("text").to_pylist(), vocabulary)
-                bounds = np.searchsorted(owner, np.arange(part.num_rows + 1))
-                lists = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(x, pa.int64())) for x in (term, times)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *lists], names=["doc_id", "toxic", "terms", "times"])
-
-    examples = [(r["doc_id"], r["toxic"], np.array(r["terms"], np.int64), np.array(r["times"], np.int64)) for r in map_arrow(sample, vectors, "doc_id long, toxic int, terms array<long>, times array<long>").toLocalIterator()]
+                owner, value, times = features(part.column("text").to_pylist())
+                bounds = pa.array(np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (value.view(np.int64), times.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *lists], names=["doc_id", "toxic", "features", "times"])
+
+    got = map_arrow(sample, vectors, "doc_id long, toxic int, features array<long>, times array<int>").toArrow().combine_chunks()
+    ids, toxic = got.column("doc_id").to_numpy(), got.column("toxic").to_numpy()
+    sizes = np.array([len(x) for x in got.column("times")], np.int64)
+    row = np.repeat(np.arange(len(ids)), sizes)
+    value, times = (np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy() for c in got.column(name).chunks)]) for name in ("features", "times"))
+    vocabulary, term = np.unique(value.view(_U), return_inverse=True)
+    lean = _label_weight(np.bincount(term, toxic[row], len(vocabulary)), np.bincount(term, minlength=len(vocabulary)), float(toxic.sum()), float(len(toxic)), min_lift)
+    del got, value
+    _release()
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, rows = np.zeros(len(vocabulary), np.int64), 0
@@ -221,13 +231,29 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 2000, k: int = 1
             rows += batch.num_rows
             for part in text_slices(batch):
                 seen += np.bincount(known_features(part.column("text").to_pylist(), vocabulary)[1], minlength=len(vocabulary))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(vocabulary))), pa.array(np.concatenate([[rows], seen]))], names=["term", "df"])
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], some])), pa.array(np.concatenate([[rows], seen[some]]))], names=["term", "df"])
 
     df = np.zeros(len(vocabulary) + 1, np.int64)
-    for r in map_arrow(_texts(docs), frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toLocalIterator():
-        df[r["term"] + 1] = r["df"]
+    sums = map_arrow(_texts(docs), frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    df[sums.column("term").to_numpy() + 1] = sums.column("df").to_numpy()
     idf = 1 + np.log((1 + df[0]) / (1 + df[1:]))
-    return Model(vocabulary, idf, examples, float(rates["r"] or 0.0), k)
+    return Model(vocabulary, idf * lean, ids, toxic, row, term, times, float(rates["r"] or 0.0), k)
+
+
+def _label_weight(toxic: np.ndarray, n: np.ndarray, pos: float, total: float, min_lift: float) -> np.ndarray:
+    """How much more each term weighs, from the examples that have it (toxic ones and all)."""
+    neg = total - pos
+    if not pos or not neg:
+        return np.ones(len(n))
+    a, b = toxic, n - toxic
+
+    def cell(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-300)), 0.0)
+
+    ratio = 2 * (cell(a, n * pos / total) + cell(b, n * neg / total) + cell(pos - a, (total - n) * pos / total) + cell(neg - b, (total - n) * neg / total))
+    more, less = (a + 0.5) / (pos + 1), (b + 0.5) / (neg + 1)
+    return np.where(np.maximum(more / less, less / more) >= min_lift, 1 + np.maximum(ratio, 0) / (2 * math.log(max(2, len(n)))), 1.0)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_examples: int = 2000, k: int = 15) -> DataFrame:

@@ -200,3 +200,25 @@ def test_odd_rows_and_empty_tables(spark, odd):
         assert pii.replace_pii(docs).count() == n == pii.surrogates(docs).count()
         assert langid.identify_language(docs).count() == n == lm_score.score_documents(docs).count()
         packing.pack(docs).count()
+
+
+def test_cosine_is_over_all_terms_of_the_examples(spark):
+    """No term is left out: a text with terms of the examples has neighbours, and their cosines are those of brute force."""
+    rng = random.Random(9)
+    docs = [(i, words(rng, 30, 90) + f" only{i}" + (" vile" if i % 4 == 0 else "")) for i in range(60)] + [(99, "only7 only7 w5 nowhere"), (98, "nothing known")]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.fit(make(spark, docs), labels, k=5)
+    texts = dict(docs)
+    vectors = []
+    for t in [texts[int(i)] for i in model.ids] + [texts[99]]:
+        _, term, times = toxicity.known_features([t], model.vocabulary)
+        v = np.zeros(len(model.vocabulary))
+        v[term] = (1 + np.log(times)) * model.idf[term]
+        vectors.append(v / np.linalg.norm(v))
+    exact = np.round(np.array(vectors[:-1]) @ vectors[-1], 6)
+    found = model.score([texts[99], texts[98], None])[1]
+    assert [e["cosine"] for e in found[0]] == sorted(exact, reverse=True)[:5] and found[0][0]["doc_id"] == 7 and found[1:] == [[], []]
+    # the frequency of a rare term is counted over all documents, and a term without a lean weighs its idf
+    seven = toxicity.known_features(["only7"], model.vocabulary)[1]
+    rare = model.idf[np.unique(seven)]
+    assert np.isclose(rare.max(), 1 + math.log((1 + len(docs)) / 3))
