@@ -222,3 +222,21 @@ def test_cosine_is_over_all_terms_of_the_examples(spark):
     seven = toxicity.known_features(["only7"], model.vocabulary)[1]
     rare = model.idf[np.unique(seven)]
     assert np.isclose(rare.max(), 1 + math.log((1 + len(docs)) / 3))
+
+
+def test_short_paragraphs_of_an_article_are_kept():
+    long = "A sentence of the article that is long enough to be text. " * 3
+    short = ["He paused.", "Why?", "No.", "So it is."]
+    body = "".join(f"<p>{x}</p>\n\n" for x in [long, short[0], long, *short[1:], long, "The last one, of middle length, ends it."])
+    menu = "<div><ul><li>Home</li><li>News</li><li>Shop</li></ul></div>"
+    text, n = html.main_text(f"<body>{menu}<article><h2>T</h2><div>\n\n{body}</div></article>{menu}</body>")
+    assert [x for x in text.split("\n") if len(x) < 50] == [*short, "The last one, of middle length, ends it."] and n == 1
+    # what lies between two kept lines in a block of its own, or in a list of the body, is not kept
+    for between in (menu, "<ul><li>Home</li><li>News</li><li>Shop</li></ul>"):
+        text, n = html.main_text(f"<body><p>{long}</p>{between}<p>{long}</p></body>")
+        assert "Home" not in text and text.count("article") == 6 and n == 2
+    text, n = html.main_text(f"<main><p>{long}</p><ul><li>one</li><li>two</li><li>six</li></ul><p>{long}</p></main>")
+    assert "one\ntwo\nsix" in text and n == 1
+    # a small block beside the article is not part of it
+    ad = "<div>Buy this now, it is cheap today only.</div>"
+    assert "Buy" not in html.main_text(f"<body>{menu}{ad}<article><h1>Title of it all</h1><p>{long}</p><p>{long}</p></article>{ad}</body>")[0]
