@@ -10,8 +10,9 @@ section, div, cell and the like; lists, tables' rows and quotes belong to the bl
 whole body) are kept, too. A page may have several parts, runs of lines that are kept.
 
 Scale: one pass without a shuffle. Defined cases: a null page has a null text and no part; an empty
-page, or one in which no window reaches `surge`, has an empty text; an unclosed comment or script
-reaches to the end of the page; each row is judged by its own page; other columns are ignored.
+page, or one in which no window reaches `surge`, has an empty text; an unclosed comment, script, style or
+textarea reaches to the end of the page; a head without its end tag, and other elements that close themselves or have
+no end tag, are plain tags; each row is judged by its own page; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .runtime import map_arrow, text_slices
 
-_HIDDEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head|iframe|select|textarea)(?=[\s>/]).*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)")
+_HIDDEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|textarea)(?=[\s>/]).*?(?:</\1\s*>|\Z)|<title(?=[\s>/])(?:(?!<title[\s>/]).)*?</title\s*>|<!\[CDATA\[.*?(?:\]\]>|\Z)")
+#: Elements that vanish with their content if they end; innermost first. A head has no text of its own once its title is gone.
+_CLOSED = re.compile(r"(?is)<(noscript|template|svg|iframe|select)(?=[\s>/])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>(?:(?!<\1[\s>/]).)*?</\1\s*>")
 _BLOCK = "address|article|aside|blockquote|body|br|button|caption|center|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|legend|li|main|menu|nav|ol|option|p|pre|section|summary|table|tbody|td|tfoot|th|thead|tr|ul"
 _BREAK = re.compile(rf"(?i)</?(?:{_BLOCK})(?=[\s>/])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>")
 _OPEN = re.compile(r"</?([A-Za-z0-9]+)")
@@ -40,7 +43,9 @@ _SPACE = re.compile(r"[^\S\n]+")
 
 def lines_of(page: str) -> tuple[list[str], list[int]]:
     """The lines of a page without its markup and without empty lines, and the number of the block of each."""
-    text = _HIDDEN.sub("\n", page)
+    text, n = _HIDDEN.sub("\n", page), 1
+    while n:
+        text, n = _CLOSED.subn("\n", text)
     lines: list[str] = []
     blocks: list[int] = []
     held: list[tuple[str, int]] = []  # open elements and their blocks; the body is block 0

@@ -240,3 +240,10 @@ def test_short_paragraphs_of_an_article_are_kept():
     # a small block beside the article is not part of it
     ad = "<div>Buy this now, it is cheap today only.</div>"
     assert "Buy" not in html.main_text(f"<body>{menu}{ad}<article><h1>Title of it all</h1><p>{long}</p><p>{long}</p></article>{ad}</body>")[0]
+
+
+def test_elements_without_an_end_tag_hide_nothing_else():
+    long = "A sentence of the article that is long enough to be text. " * 3
+    for before in ("<head><title>gone</title><meta charset=x><body>", "<head><title>gone</title>", "<head><style>gone{}</style><script>'<p>gone'</script></head><body>", '<svg class="i" />', "<svg class=i />", "<svg class=i>", "<iframe src='x'/>", "<template>", "<select><option>one", "<noscript>", "<title>", "<iframe><iframe>gone</iframe>", "<template>gone<template>gone</template>gone</template>"):
+        text, _ = html.main_text(f"<html>{before}<p>{long}</p><p>{long}</p><svg><text>gone</text></svg></html>")
+        assert text.count("article") == 6 and "gone" not in text, before
