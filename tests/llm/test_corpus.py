@@ -247,3 +247,14 @@ def test_elements_without_an_end_tag_hide_nothing_else():
     for before in ("<head><title>gone</title><meta charset=x><body>", "<head><title>gone</title>", "<head><style>gone{}</style><script>'<p>gone'</script></head><body>", '<svg class="i" />', "<svg class=i />", "<svg class=i>", "<iframe src='x'/>", "<template>", "<select><option>one", "<noscript>", "<title>", "<iframe><iframe>gone</iframe>", "<template>gone<template>gone</template>gone</template>"):
         text, _ = html.main_text(f"<html>{before}<p>{long}</p><p>{long}</p><svg><text>gone</text></svg></html>")
         assert text.count("article") == 6 and "gone" not in text, before
+
+
+def test_scores_keep_all_ngrams_whatever_is_held_at_once(spark):
+    rng = random.Random(6)
+    texts = [words(rng, 80) for _ in range(20)] + ["\u00e4bra " * 200, "rare \u4e2d\u6587", "", None]
+    keys, counts = np.unique(lm_score.ngram_keys(texts), return_counts=True)
+    sizes, want = lm_score.Automaton(keys, counts).score(texts)
+    for most in (100, 3_000_000):
+        got = {r["doc_id"]: (r["n_bytes"], r["log_prob"]) for r in lm_score.score_documents(make(spark, list(enumerate(texts))), most).collect()}
+        assert [got[i][0] for i in range(len(texts))] == sizes.tolist()
+        assert np.allclose([got[i][1] for i in range(len(texts))], want, atol=1e-2)
