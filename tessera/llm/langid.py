@@ -8,7 +8,10 @@ a language lacks is its backed-off value): one binary search finds an n-gram in
 A text gets the language with the lowest cross-entropy, in nats a character over the whole text. It is
 rejected where that is above what the language's own texts of that length reach: the limit is the mean
 of `max_held_out` other documents plus z standard deviations, whose variance is a + b / length; z is the
-quantile 1 - `reject_rate` of the held-out documents, and at least 4.
+quantile 1 - `reject_rate` of the held-out documents, and at least 4. A language with fewer than `LEAST` held-out
+documents is calibrated by cross-validation on its training documents (in fit, these are then all it has); where that
+gives fewer than `LEAST` values, the mean is its own and the variance the largest of the other languages. With fewer
+than two documents, or without another language to take the variance from, nothing is accepted as that language.
 
 Only letters count, in lower case; each run of other characters is one space. Characters from U+0800 on
 are hashed into 11 bits.
@@ -35,6 +38,8 @@ from .kneser_ney import estimate, lookup
 from .runtime import map_arrow, text_slices
 
 N, BITS = 5, 12
+#: Texts that are enough to calibrate a language.
+LEAST = 8
 _IS_LETTER = np.fromiter((chr(c).isalpha() for c in range(1 << 16)), bool, 1 << 16)
 
 
@@ -92,7 +97,8 @@ class Models:
             self.logp.append(logp)
             self.contexts.append(contexts)
             self.backoff.append(backoff)
-        self.limits = np.tile([math.inf, 0.0, 0.0], (len(models), 1))  # mean, a, b of each language, z included
+        self.limits = np.tile([-math.inf, 0.0, 0.0], (len(models), 1))  # mean, a, b of each language, z included
+        self.trained = texts
 
     def log_probabilities(self, key: np.ndarray) -> np.ndarray:
         """log P(last symbol | the four before) for every key and language."""
@@ -128,17 +134,29 @@ class Models:
 
     def calibrate(self, texts: dict[str, list[str]], reject_rate: float) -> None:
         """Limits of acceptance from held-out texts of each language."""
+        few: dict[int, float] = {}
         for j, language in enumerate(self.languages):
             h, n = self.cross_entropy(texts.get(language, []))
             h, n = h[n > 0, j], n[n > 0]
-            if len(h) < 8:
+            if len(h) < LEAST:
+                h, n = _cross_validated(self.trained[language])
+            if len(h) < 2:
                 continue
             mean = float(np.average(h, weights=np.minimum(n, 2000)))
+            if len(h) < LEAST:
+                few[j] = mean
+                continue
             design = np.stack([np.ones(len(n)), 1.0 / n], 1)
             b = max(1e-6, float(np.linalg.lstsq(design, (h - mean) ** 2, rcond=None)[0][1]))
             a = max(1e-6, float(np.median((h - mean) ** 2)))
             z = max(4.0, float(np.quantile((h - mean) / np.sqrt(a + b / n), 1 - reject_rate)))
             self.limits[j] = mean, z * z * a, z * z * b
+        known = np.isfinite(self.limits[:, 0])
+        if known.any():
+            spread = self.limits[known, 1:].max(axis=0)
+            for j, mean in few.items():
+                self.limits[j] = mean, *spread
+        self.trained = {}
 
     def identify(self, texts: list) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
         """(language or None, cross-entropy, margin to the second, accepted) of each text."""
@@ -155,6 +173,18 @@ class Models:
         return [self.languages[j] if k else None for j, k in zip(best, n)], low, np.where(np.isfinite(second), second - low, np.nan), accepted
 
 
+def _cross_validated(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Cross-entropy and length of each text under a model of the others, in at most LEAST folds."""
+    folds = min(LEAST, len(texts))
+    h, n = [np.zeros(0)], [np.zeros(0, np.int64)]
+    for f in range(folds if folds > 1 else 0):
+        rest = [t for i, t in enumerate(texts) if i % folds != f]
+        x, size = Models({"": rest}).cross_entropy(texts[f::folds])
+        h.append(x[size > 0, 0])
+        n.append(size[size > 0])
+    return np.concatenate(h), np.concatenate(n)
+
+
 def fit(docs: DataFrame, max_train: int = 400, max_held_out: int = 400, reject_rate: float = 0.001) -> Models:
     """Models from labelled documents: of each language those with the least hashes train, the next are held out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
@@ -173,8 +203,9 @@ def fit(docs: DataFrame, max_train: int = 400, max_held_out: int = 400, reject_r
     train: dict[str, list[str]] = {}
     held: dict[str, list[str]] = {}
     for r in ranked.select("lang", "rank", "text").orderBy("lang", "rank").toLocalIterator():
-        # of few documents half are held out
-        to = train if r["rank"] <= min(max_train, max(1, min(most, sizes[r["lang"]]) // 2)) else held
+        # of few documents half are held out, of very few none
+        n = min(most, sizes[r["lang"]])
+        to = train if r["rank"] <= min(max_train, n if n < 2 * LEAST else n // 2) else held
         to.setdefault(r["lang"], []).append(r["text"])
     models = Models(train)
     models.calibrate(held, reject_rate)

@@ -249,6 +249,19 @@ def test_elements_without_an_end_tag_hide_nothing_else():
         assert text.count("article") == 6 and "gone" not in text, before
 
 
+def test_languages_with_few_documents_reject_junk(spark):
+    rng = random.Random(2)
+    write = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
+    docs = [(i, write(a, 150), lang) for lang, a, n in (("aa", "abcde", 60), ("ff", "fghij", 12), ("kk", "klmno", 4), ("one", "pqrst", 1)) for i in range(n)]
+    m = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    best, _, _, ok = m.identify([write(x, 100) for x in ("abcde", "fghij", "klmno", "pqrst")])
+    assert best == ["aa", "ff", "kk", "one"] and ok.tolist() == [True, True, True, False]
+    junk = [write(x, 100) for x in ("uvwxyz", "\u03b1\u03b2\u03b3\u03b4", "afkpuz", "fuvwx", "kvwxy", "pwxyz")]
+    assert not m.identify(junk)[3].any() and not np.isposinf(m.limits).any()
+    alone = langid.fit(spark.createDataFrame(docs[-1:], "doc_id long, text string, lang string"))
+    assert not alone.identify(junk)[3].any()
+
+
 def test_scores_keep_all_ngrams_whatever_is_held_at_once(spark):
     rng = random.Random(6)
     texts = [words(rng, 80) for _ in range(20)] + ["\u00e4bra " * 200, "rare \u4e2d\u6587", "", None]
