@@ -72,7 +72,7 @@ TITLES = ("Mr", "Ms", "Mme", "Miss", "Dr", "Prof", "Herr", "Frau", "Monsieur", "
 DIGIT = re.compile(r"\d")
 SECRET_HEADS = ("AKIA", "ASIA", "akia", "asia", "sk-", "sk_", "pk-", "pk_", "ghp_", "gho_", "xoxb-", "glpat-")
 TITLED = re.compile(r"(?<!\w)(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora|Mme)\.? ((?:[A-ZÀ-ÞА-ЯΑ-Ω][\w'’\-]+ )?[A-ZÀ-ÞА-ЯΑ-Ω][\w'’\-]+)")
-PAIR = re.compile(r"([A-ZÀ-ÞА-ЯΑ-ΩΆ-Ώ][\w\-]+) ([A-ZÀ-ÞА-ЯΑ-ΩΆ-Ώ][\w'’\-]+)")
+PAIR = re.compile(r"([A-ZÀ-ÞА-ЯΑ-ΩΆ-Ώ][\w\-]+)(?= ([A-ZÀ-ÞА-ЯΑ-ΩΆ-Ώ][\w'’\-]+))")
 
 
 class Permuter:

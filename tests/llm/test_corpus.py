@@ -271,3 +271,12 @@ def test_scores_keep_all_ngrams_whatever_is_held_at_once(spark):
         got = {r["doc_id"]: (r["n_bytes"], r["log_prob"]) for r in lm_score.score_documents(make(spark, list(enumerate(texts))), most).collect()}
         assert [got[i][0] for i in range(len(texts))] == sizes.tolist()
         assert np.allclose([got[i][1] for i in range(len(texts))], want, atol=1e-2)
+
+
+def test_names_after_a_capitalised_word_are_replaced():
+    s = pii.Surrogates()
+    for text in ("Contact Mary Smith", "Dear Mary Smith, we saw Smith.", "Yesterday Old Mary Smith left", "Mary Anna Smith", "CONTACT MARY SMITH"):
+        new, found = pii.surrogate_text(text, s)
+        assert not any(x in new.lower() for x in ("mary", "smith")) and {e["kind"] for e in found} == {"given", "surname"}
+        assert new.split(" ")[0] == text.split(" ")[0] or text.startswith("Mary")
+    assert pii.surrogate_text("Contact Old Town", s)[1] == []
