@@ -8,7 +8,7 @@ more, by 1 + (likelihood ratio of presence and label) / (2 * ln(terms)); no term
 
 The index adds the postings of rare terms up exactly; for frequent ones it keeps, for each block of `BLOCK` examples,
 the largest weight. The two give a bound for each block; blocks that can't reach a query's k-th best
-example are passed over: the result is exact.
+example are passed over: the result is exact, with cosines compared in units of 1 / SCALE.
 
 Each of the k nearest examples votes with its cosine (1 - distance) against the prior. Votes are
 calibrated by a logistic curve that is fitted on the examples themselves, each without its own vote,
@@ -17,9 +17,10 @@ weighted by the frequency of the classes. The examples that voted are the eviden
 Scale: three passes over the text (sample, frequencies, scores), no shuffle of text; what is sent to
 the executors is bounded by the sample.
 
-Defined cases: null and empty texts and those without a term of any example have no neighbour and the score of an empty vote; terms that no example has are outside of the space; each row
-is judged by its own text, also where rows share a doc_id or have none; labels other than 0 and 1 are
-no examples; a doc_id with both labels counts as toxic; without examples of both classes every
+Defined cases: null and empty texts and those without a term of any example have no neighbour and the score of an empty
+vote; terms that no example has are outside of the space; each row is judged by its own text, also where rows share a
+doc_id or have none; rows that share a labelled doc_id give one example, the text with the least hash; labels other than 0
+and 1 are no examples; a doc_id with both labels counts as toxic; without examples of both classes every
 score is 0. Other columns are ignored, and pass through drop_toxic unchanged.
 """
 
@@ -39,9 +40,9 @@ from .textops import stems
 PREFIXES = (4, 5, 6)
 BLOCK = 32
 #: Blocks visited at once, queries searched at once, and the share of the examples that makes a term a frequent one.
-VISIT, TOGETHER, FREQUENT = 16, 64, 0.1
+VISIT, TOGETHER, FREQUENT = 16, 64, 0.05
 #: Scores are compared in units of 1 / SCALE; the low bits hold the row.
-SCALE, TIES = 1e9, 22
+SCALE, TIES = 1e6, 22
 PRIOR_WEIGHT = 1.0
 _U = np.uint64
 
@@ -84,29 +85,30 @@ class Index:
         often = df > n_rows * FREQUENT
         self.place = np.where(often, np.cumsum(often) - 1, -1)
         dense = often[terms]
-        self.dense = np.zeros((int(often.sum()), self.blocks * BLOCK))
+        self.dense = np.zeros((int(often.sum()), self.blocks * BLOCK), np.float32)
         self.dense[self.place[terms[dense]], rows[dense]] = weights[dense]
         self.top = self.dense.reshape(-1, self.blocks, BLOCK).max(axis=2, initial=0)
         rows, terms, weights = rows[~dense], terms[~dense], weights[~dense]
         order = np.lexsort((rows, terms))
-        self.row, self.weight = rows[order].astype(np.int32), weights[order]
+        self.row, self.weight = rows[order].astype(np.int64), weights[order]
         self.begin = np.concatenate([[0], np.cumsum(np.where(often, 0, df))])
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples with the highest positive cosine, ties by row."""
-        return self.nearest_of(np.zeros(len(terms), np.int64), terms, weights, 1, k, np.array([without]))[0]
+        row, score = self.nearest_of(np.zeros(len(terms), np.int64), terms, weights, 1, k, np.array([without]))
+        return row[0][row[0] >= 0], score[0][row[0] >= 0]
 
-    def nearest_of(self, owner: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, k: int, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """nearest() of n queries, given as (query, term, weight) in order of queries."""
+    def nearest_of(self, owner: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and cosines of nearest() for n queries, given as (query, term, weight) in order of queries; -1 and 0 where there are fewer than k."""
         width = self.blocks * BLOCK
         place = self.place[terms]
         often = place >= 0
-        query = np.zeros((n, len(self.dense)))
+        query = np.zeros((n, len(self.dense)), np.float32)
         query[owner[often], place[often]] = weights[often]
         begin, size = self.begin[terms[~often]], np.diff(self.begin)[terms[~often]]
         at = _spans(begin, size)
         sums = np.bincount(np.repeat(owner[~often] * width, size) + self.row[at], np.repeat(weights[~often], size) * self.weight[at], n * width).reshape(n, width)
-        bound = query @ self.top + sums.reshape(n, self.blocks, BLOCK).max(axis=2) + 1e-8
+        bound = query @ self.top + sums.reshape(n, self.blocks, BLOCK).max(axis=2) + 10 / SCALE
         # scores as integers that also order ties by row; only positive ones count
         best = np.zeros((n, k), np.int64)
         spans = [np.arange(b, min(b + VISIT, self.blocks)) for b in range(0, self.blocks, VISIT)]
@@ -122,11 +124,8 @@ class Index:
                 key[np.arange(a, b) == without[active, None]] = 0
             both = np.concatenate([best[active], key], 1)
             best[active] = np.sort(np.partition(both, both.shape[1] - k, axis=1)[:, -k:], axis=1)
-        out = []
-        for keys in best[:, ::-1]:
-            keys = keys[keys > 0]
-            out.append(((1 << TIES) - 1 - (keys & ((1 << TIES) - 1)), (keys >> TIES) / SCALE))
-        return out
+        best = best[:, ::-1]
+        return np.where(best > 0, (1 << TIES) - 1 - (best & ((1 << TIES) - 1)), -1), (best >> TIES) / SCALE
 
 
 class Model:
@@ -149,7 +148,7 @@ class Model:
         self.index = Index(row, term, weight, len(ids), len(vocabulary))
         self.slope, self.shift = 0.0, -50.0
         if 0 < self.toxic.sum() < len(self.toxic):
-            raw = np.array([self.vote(*found) for found in self._search(row, term, weight, len(ids), np.arange(len(ids)))])
+            raw = self.vote(*self._search(row, term, weight, len(ids), np.arange(len(ids))))
             share = np.where(self.toxic > 0, base_rate / self.toxic.sum(), (1 - base_rate) / (len(self.toxic) - self.toxic.sum()))
             self.slope, self.shift = _logistic(raw, self.toxic, share * len(self.toxic))
 
@@ -158,23 +157,38 @@ class Model:
         norm = np.sqrt(np.bincount(owner, weight * weight, n))
         return weight / np.where(norm > 0, norm, 1)[owner]
 
-    def _search(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, without: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _search(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        rows, cosine = [np.zeros((0, self.k), np.int64)], [np.zeros((0, self.k))]
         for a in range(0, n, TOGETHER):
             b = min(n, a + TOGETHER)
             s = slice(*np.searchsorted(owner, [a, b]))
-            yield from self.index.nearest_of(owner[s] - a, term[s], weight[s], b - a, self.k, None if without is None else without[a:b])
+            found = self.index.nearest_of(owner[s] - a, term[s], weight[s], b - a, self.k, None if without is None else without[a:b])
+            rows.append(found[0])
+            cosine.append(found[1])
+        return np.concatenate(rows), np.concatenate(cosine)
+
+    def vote(self, rows: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+        """The vote of each row of neighbours; those that are absent have a cosine of 0."""
+        toxic = self.toxic[np.maximum(rows, 0)] if len(self.toxic) else np.zeros(rows.shape)
+        return ((cosine * toxic).sum(axis=1) + PRIOR_WEIGHT * self.base) / (cosine.sum(axis=1) + PRIOR_WEIGHT)
+
+    def judge(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Calibrated scores of texts, and the rows and cosines of their neighbours (row -1: none)."""
+        owner, term, times = known_features(texts, self.vocabulary)
+        rows, cosine = self._search(owner, term, self.weigh(owner, term, times, len(texts)), len(texts))
+        return 1 / (1 + np.exp(-(self.slope * self.vote(rows, cosine) + self.shift))), rows, cosine
 
-    def vote(self, rows: np.ndarray, cosine: np.ndarray) -> float:
-        return float((cosine @ self.toxic[rows] + PRIOR_WEIGHT * self.base) / (cosine.sum() + PRIOR_WEIGHT))
+    def evidence(self, rows: np.ndarray, cosine: np.ndarray) -> pa.ListArray:
+        """The neighbours of each text as a list of (doc_id, toxic, cosine)."""
+        some = rows >= 0
+        offsets = np.concatenate([[0], np.cumsum(some.sum(axis=1))]).astype(np.int32)
+        values = pa.StructArray.from_arrays([pa.array(self.ids[rows[some]], pa.int64()), pa.array(self.toxic[rows[some]].astype(np.int32)), pa.array(np.round(cosine[some], 6))], ["doc_id", "toxic", "cosine"])
+        return pa.ListArray.from_arrays(pa.array(offsets), values)
 
     def score(self, texts: list) -> tuple[np.ndarray, list[list[dict]]]:
         """Calibrated scores and evidence of texts."""
-        owner, term, times = known_features(texts, self.vocabulary)
-        raw, evidence = np.full(len(texts), self.base), [[] for _ in texts]
-        for i, (rows, cosine) in enumerate(self._search(owner, term, self.weigh(owner, term, times, len(texts)), len(texts))):
-            raw[i] = self.vote(rows, cosine)
-            evidence[i] = [{"doc_id": int(self.ids[r]), "toxic": int(self.toxic[r]), "cosine": round(float(c), 6)} for r, c in zip(rows, cosine)]
-        return 1 / (1 + np.exp(-(self.slope * raw + self.shift))), evidence
+        score, rows, cosine = self.judge(texts)
+        return score, self.evidence(rows, cosine).to_pylist()
 
 
 def _logistic(x: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -204,8 +218,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 2000, k: int = 1
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rates = known.agg(F.avg("toxic").alias("r"), F.count("*").alias("n")).first()
     picked = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples) for t in (0, 1)]
-    # at most 2 * max_examples rows
-    sample = cut(_texts(docs).where("text is not null").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("doc_id", "text", "toxic").repartition(16, "doc_id"))
+    # at most 2 * max_examples rows, before and after the join
+    labelled = _texts(docs).where("text is not null").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    sample = cut(labelled.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic")).repartition(16, "doc_id"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,11 +276,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, m
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_examples, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
         for batch in batches:
             for part in text_slices(batch):
-                score, evidence = sent.value.score(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.round(score, 6)), pa.array(score >= threshold), pa.array(evidence, kind)], names=["doc_id", "toxicity", "toxic", "evidence"])
+                score, rows, cosine = sent.value.judge(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.round(score, 6)), pa.array(score >= threshold), sent.value.evidence(rows, cosine)], names=["doc_id", "toxicity", "toxic", "evidence"])
 
     return map_arrow(_texts(docs), run, "doc_id long, toxicity double, toxic boolean, evidence array<struct<doc_id: bigint, toxic: int, cosine: double>>")
 
@@ -274,4 +288,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_e
     """The rows whose score is under the threshold; columns as in docs."""
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_examples, k))
     place = [c.lower() for c in docs.columns].index("text")
-    return keep_rows(docs, lambda part: (sent.value.score(part.column(place).to_pylist())[0] < threshold).tolist())
+    return keep_rows(docs, lambda part: (sent.value.judge(part.column(place).to_pylist())[0] < threshold).tolist())
