@@ -1,22 +1,25 @@
-"""Approximate nearest neighbours of every vector by a hierarchical k-means tree, searched best bin first.
+"""Approximate nearest neighbours by a hierarchical k-means tree, searched best bin first.
 
 The tree is built by k-means with `branching` centres, again in each part, until a leaf stands for about `leaf_size`
-vectors. It is fitted on a bounded sample (`max_sample`, those with the least hash of their id); every
-vector goes down to the leaf of the nearest centres. A query keeps a priority queue of nodes by the distance to their
-centres: it descends from the nearest, and each next leaf begins at the nearest node that was passed by. How
-many leaves are visited is calibrated: for `calibration` vectors the exact neighbours are found by brute force, and
-visits are widened until the leaves visited hold at least `target_recall` of them.
+vectors. It is fitted on a bounded sample (`max_sample`, those with the least hash of their id, so it has at most
+max_sample / 4 leaves); every vector goes down to the leaf of the nearest centres and is indexed there. A query keeps a priority
+queue of nodes by the distance to their centres: it descends from the nearest, and each next leaf begins at the nearest
+node that was passed by. How many leaves are visited is calibrated: for `calibration` vectors outside of the sample (where
+there are others) the exact neighbours among all vectors are found by brute force, and visits are widened until the
+leaves visited hold at least `target_recall` of them.
 
-Every vector is a query. Within the leaves it visits distances are exact; the k least, ties by
-id, are the result; the vector itself is no neighbour, other rows with the same vector are.
+Within the leaves that a query visits distances are exact; the k least, ties by id, are the result; the vector itself is
+no neighbour, other rows with the same vector are.
 
-Scale: neighbouring leaves share a bucket of about `bucket_size` vectors. One shuffle of (bucket, id, vector), each vector
-once as a point and once for each bucket in which its query visits leaves, and one of the k best of each
-bucket by query. The tree is bounded by the sample and is sent to the executors.
+Scale: leaves next to each other share a bucket of about `bucket_size` vectors, and a leaf with more of them (of
+equal vectors, say) is divided among several, to all of which its queries go: no task holds more than a bucket. One shuffle of
+(bucket, id, vector), each vector once as a point and each query once for each bucket in which it visits leaves, and one
+of the k best of each bucket by query. The tree is bounded by the sample and is sent to the executors.
 
 Defined cases: rows with a null id, a null vector, a null or not finite element or another dimension than the
 commonest (the least of several) are neither points nor queries; rows that share an id are points each, and
-one query, with the least vector; fewer than k other vectors give all of them; other columns are ignored.
+one query, with the least vector; fewer than k other vectors give all of them, no other vector an empty list; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +33,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut, map_arrow, whole_groups
+from .runtime import map_arrow, whole_groups
+from .textops import mix
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -79,8 +83,7 @@ class Tree:
         return self.norms - 2 * x @ self.centres.T
 
     def assign(self, x: np.ndarray) -> np.ndarray:
-        """The leaf of each vector."""
-        d = self.distances(x)
+        """The leaf of each vector, by the distances to the children of each node on its way."""
         out = np.empty(len(x), np.int64)
         todo = [(0, np.arange(len(x)))]
         while todo:
@@ -89,7 +92,7 @@ class Tree:
             if not children:
                 out[rows] = self.leaf[node]
                 continue
-            to = np.argmin(d[rows][:, children], axis=1)
+            to = np.argmin(self.norms[children] - 2 * x[rows] @ self.centres[children].T, axis=1)
             todo += [(c, rows[to == j]) for j, c in enumerate(children) if (to == j).any()]
         return out
 
@@ -120,8 +123,8 @@ def _flat(column: pa.ChunkedArray) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy()
 
 
-def _nearest(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, allowed: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(row of queries, ids, distances) of the k nearest points, of those that are allowed."""
+def _nearest(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, allowed: np.ndarray | None = None, by_row: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row of queries, ids or rows, distances) of the k nearest points, of those that are allowed."""
     norms = (points**2).sum(1)
     for begin in range(0, len(queries), 512):
         q = queries[begin : begin + 512]
@@ -138,77 +141,117 @@ def _nearest(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.n
             rows = rows[np.isfinite(d[i, rows])]
             exact = np.sqrt(((points[rows] - q[i]) ** 2).sum(1)).round(6)
             best = np.lexsort((ids[rows], exact))[:k]
-            yield begin + i, ids[rows[best]], exact[best]
+            yield begin + i, rows[best] if by_row else ids[rows[best]], exact[best]
 
 
-def clean(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
-    """(id, v) of the usable rows."""
-    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-    size = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    return rows.where(F.size("v") == (size["d"] if size else 0))
+def _usable(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
+    return vectors.select(F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
 
 
-def brute_force(rows: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> dict[int, list[tuple[float, int, list[float]]]]:
-    """The exact neighbours of a bounded number of queries: (distance, id, vector)."""
+def calibration_ranks(rows: DataFrame, tree: Tree, queries: list[tuple[int, list[float]]], k: int) -> list[int]:
+    """How many leaves each exact neighbour of the queries (a bounded number) takes to be reached, best bin first."""
     own, q = np.array([i for i, _ in queries], np.int64), np.array([v for _, v in queries])
+    sent = rows.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids, points = batch.column("id").to_numpy(), _matrix(batch.column("v"))
-            where = {int(i): r for r, i in enumerate(ids)}
-            found = [(int(own[r]), int(i), float(x), points[where[int(i)]].tolist()) for r, near, d in _nearest(points, ids, q, own, k) for i, x in zip(near, d)]
-            a, b, c, e = zip(*found) if found else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64()), pa.array(e, pa.list_(pa.float64()))], names=["q", "id", "d", "v"])
-
-    best = map_arrow(rows, run, "q long, id long, d double, v array<double>").groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id", "v"))), 1, k).alias("near"))
-    return {r["q"]: [(x["d"], x["id"], x["v"]) for x in r["near"]] for r in best.toLocalIterator()}
-
-
-def nearest_neighbours(vectors: DataFrame, k: int = 10, id_column: str = "vec_id", column: str = "embedding", branching: int = 8, leaf_size: int = 128, max_sample: int = 20_000, calibration: int = 128, target_recall: float = 0.97, bucket_size: int = 4096) -> DataFrame:
-    """(id, neighbours) for every vector; neighbours lists (id, distance) from the nearest on."""
-    rows = cut(clean(vectors, id_column, column))
-    total = rows.count()
+            leaf = sent.value.assign(points)
+            # an id may occur in several rows: neighbours are found by row, and named by leaf only
+            found = [(int(own[r]), float(x), int(leaf[i])) for r, near, d in _nearest(points, ids, q, own, k, by_row=True) for i, x in zip(near, d)]
+            a, b, c = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.float64()), pa.array(c, pa.int64())], names=["q", "d", "leaf"])
+
+    def best(of: DataFrame, *keys) -> DataFrame:
+        return of.groupBy(*keys).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+
+    parts = map_arrow(rows, run, "q long, d double, leaf long").select("q", F.array(F.struct("d", "leaf")).alias("near"), F.pmod(F.spark_partition_id(), F.lit(256)).alias("part"))
+    exact = {r["q"]: [x["leaf"] for x in r["near"]] for r in best(best(parts, "q", "part"), "q").collect()}
+    out: list[int] = []
+    for (i, _), leaves in zip(queries, tree.visits(q, tree.leaves, True)):
+        rank = np.empty(tree.leaves, np.int64)
+        rank[leaves] = np.arange(tree.leaves)
+        out += rank[exact.get(i, [])].tolist()
+    return out
+
+
+def _placement(counts: np.ndarray, bucket_size: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(first bucket and number of buckets of each leaf, buckets): small leaves share one, large leaves have several."""
+    first, pieces = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64)
+    bucket = held = 0
+    for leaf, n in enumerate(counts.tolist()):
+        if n > bucket_size:
+            bucket += held > 0
+            first[leaf], pieces[leaf] = bucket, -(-n // bucket_size)
+            bucket, held = bucket + int(pieces[leaf]), 0
+            continue
+        if held and held + n > bucket_size:
+            bucket, held = bucket + 1, 0
+        first[leaf] = bucket
+        held += n
+    return first, pieces, bucket + 1
+
+
+def nearest_neighbours(vectors: DataFrame, k: int = 10, queries: DataFrame | None = None, id_column: str = "vec_id", column: str = "embedding", branching: int = 8, leaf_size: int = 128, max_sample: int = 20_000, calibration: int = 128, target_recall: float = 0.97, bucket_size: int = 4096) -> DataFrame:
+    """(id, neighbours) for every query (every vector where `queries` is None), among all vectors.
+
+    neighbours lists (id, distance) from the nearest on. `queries` has the columns of `vectors`.
+    """
+    spark = vectors.sparkSession
+    rows = _usable(vectors, id_column, column)
     shape = f"{id_column} long, neighbours array<struct<id: bigint, distance: double>>"
-    if not total:
-        return rows.sparkSession.createDataFrame([], shape)
-    bound = int(min(1.0, (max_sample + 6 * max_sample**0.5) / total) * (1 << 32))
-    sample = [(r["id"], r["v"]) for r in rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 32)) < bound).orderBy(F.xxhash64("id"), "id").limit(max_sample).toLocalIterator()]
-    tree = Tree(np.array([v for _, v in sample]), total, branching, leaf_size)
-    queries = list(dict(sample[:calibration]).items())
-    exact = brute_force(rows, queries, k)
-    order = tree.visits(np.array([v for _, v in queries]), tree.leaves, True)
-    ranks = []
-    for (i, _), leaves in zip(queries, order):
-        near = exact.get(i, [])
-        if near:
-            rank = np.empty(tree.leaves, np.int64)
-            rank[leaves] = np.arange(tree.leaves)
-            ranks += rank[tree.assign(np.array([v for _, _, v in near]))].tolist()
+    size = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    if size is None:
+        return spark.createDataFrame([], shape)
+    total = size["n"]
+    rows = rows.where(F.size("v") == size["d"])
+    asked = (rows if queries is None else _usable(queries, id_column, column).where(F.size("v") == size["d"])).groupBy("id").agg(F.min("v").alias("v"))
+    most = max_sample + calibration
+    bound = int(min(1.0, (most + 6 * most**0.5) / total) * (1 << 32))
+    sample = [(r["id"], r["v"]) for r in rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 32)) < bound).orderBy(F.xxhash64("id"), "id", "v").limit(most).toLocalIterator()]
+    tree = Tree(np.array([v for _, v in sample[:max_sample]]), total, branching, leaf_size)
+    ranks = calibration_ranks(rows, tree, list(dict(sample[max_sample:] or sample[:calibration]).items()), k)
     visits = int(np.quantile(ranks, target_recall, method="inverted_cdf")) + 1 if ranks else 1
-    # leaves next to each other in the tree share a bucket: a query goes once to each bucket, not to each leaf
-    buckets = max(1, min(tree.leaves, total // bucket_size))
-    sent = rows.sparkSession.sparkContext.broadcast(tree)
+    sent = spark.sparkContext.broadcast(tree)
+
+    def leaves_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                leaf, n = np.unique(sent.value.assign(_matrix(batch.column("v"))), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(n)], names=["leaf", "n"])
+
+    counts = np.zeros(tree.leaves, np.int64)
+    for r in map_arrow(rows.select("v"), leaves_of, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect():
+        counts[r["leaf"]] = r["n"]
+    first, pieces, _ = _placement(counts, bucket_size)
     placed_schema = "bucket long, is_query boolean, id long, v array<double>, leaves array<long>"
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                leaf = sent.value.assign(_matrix(batch.column("v")))
+                nth = np.where(pieces[leaf] > 1, (mix(batch.column("id").to_numpy().view(np.uint64)) >> np.uint64(1)).astype(np.int64) % pieces[leaf], 0)
+                leaves = pa.ListArray.from_arrays(pa.array(np.arange(len(leaf) + 1, dtype=np.int32)), pa.array(leaf))
+                yield pa.RecordBatch.from_arrays([pa.array(first[leaf] + nth), pa.array(np.zeros(len(leaf), bool)), batch.column("id"), batch.column("v"), leaves], names=["bucket", "is_query", "id", "v", "leaves"])
+
+    def questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             step = max(1, 100_000 // visits)
             for begin in range(0, batch.num_rows, step):
                 part = batch.slice(begin, step)
-                x = _matrix(part.column("v"))
-                own = sent.value.assign(x)
-                row = np.repeat(np.arange(len(x)), min(visits, tree_leaves))
-                leaf = sent.value.visits(x, visits).ravel()
-                order = np.argsort(row * buckets + leaf * buckets // tree_leaves, kind="stable")
-                row, leaf = row[order], leaf[order]
-                bucket = leaf * buckets // tree_leaves
-                first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])]))
-                rows_ = np.concatenate([np.arange(len(x)), row[first]])
-                offsets = np.concatenate([np.arange(len(x)), len(x) + first, [len(x) + len(leaf)]]).astype(np.int32)
-                leaves = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([own, leaf])))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([own * buckets // tree_leaves, bucket[first]])), pa.array(np.arange(len(rows_)) >= len(x)), part.column("id").take(pa.array(rows_)), part.column("v").take(pa.array(rows_)), leaves], names=["bucket", "is_query", "id", "v", "leaves"])
+                leaf = sent.value.visits(_matrix(part.column("v")), visits)
+                row, leaf = np.repeat(np.arange(len(leaf)), leaf.shape[1]), leaf.ravel()
+                n = pieces[leaf]
+                bucket = np.repeat(first[leaf], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                row, leaf = np.repeat(row, n), np.repeat(leaf, n)
+                order = np.lexsort((leaf, bucket, row))
+                row, leaf, bucket = row[order], leaf[order], bucket[order]
+                head = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])]))
+                leaves = pa.ListArray.from_arrays(pa.array(np.append(head, len(leaf)).astype(np.int32)), pa.array(leaf))
+                at = pa.array(row[head])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[head]), pa.array(np.ones(len(head), bool)), part.column("id").take(at), part.column("v").take(at), leaves], names=["bucket", "is_query", "id", "v", "leaves"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, "bucket"):
@@ -216,32 +259,28 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, id_column: str = "vec_id
             bounds = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
             for a, b in zip(bounds[:-1], bounds[1:]):
                 whole = group.slice(a, b - a)
-                points = whole.filter(pc.invert(whole.column("is_query"))).combine_chunks()
-                queries = whole.filter(whole.column("is_query"))
-                if not len(points) or not len(queries):
+                held = whole.filter(pc.invert(whole.column("is_query"))).combine_chunks()
+                wanted = whole.filter(whole.column("is_query"))
+                if not len(held) or not len(wanted):
                     continue
-                leaf = _flat(points.column("leaves"))
+                leaf = _flat(held.column("leaves"))
                 known, where = np.unique(leaf, return_inverse=True)
-                v, ids = _matrix(points.column("v").combine_chunks()), points.column("id").to_numpy()
-                for begin in range(0, len(queries), 512):
-                    part = queries.slice(begin, 512).combine_chunks()
-                    own, asked = part.column("id").to_numpy(), part.column("leaves").combine_chunks()
-                    of = np.repeat(np.arange(len(part)), np.asarray(pc.list_value_length(asked)))
-                    flat = asked.flatten().to_numpy()
+                v, ids = _matrix(held.column("v").combine_chunks()), held.column("id").to_numpy()
+                for begin in range(0, len(wanted), 512):
+                    part = wanted.slice(begin, 512).combine_chunks()
+                    own, visited = part.column("id").to_numpy(), part.column("leaves").combine_chunks()
+                    of = np.repeat(np.arange(len(part)), np.asarray(pc.list_value_length(visited)))
+                    flat = visited.flatten().to_numpy()
                     at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
                     hit = known[at] == flat  # a leaf may have no point
-                    visited = np.zeros((len(part), len(known)), bool)
-                    visited[of[hit], at[hit]] = True
-                    found = list(_nearest(v, ids, _matrix(part.column("v").combine_chunks()), own, k, visited[:, where]))
+                    open_ = np.zeros((len(part), len(known)), bool)
+                    open_[of[hit], at[hit]] = True
+                    found = list(_nearest(v, ids, _matrix(part.column("v").combine_chunks()), own, k, open_[:, where]))
                     sizes = np.array([len(n) for _, n, _ in found])
                     near = pa.StructArray.from_arrays([pa.array(np.concatenate([d for _, _, d in found])), pa.array(np.concatenate([n for _, n, _ in found]))], ["d", "id"])
                     yield pa.RecordBatch.from_arrays([pa.array(own[[r for r, _, _ in found]]), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), near)], names=["q", "near"])
 
-    tree_leaves = tree.leaves
-    single = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() == 0
-    placed = map_arrow(rows, spread, placed_schema)
-    if not single:  # rows that share an id are one query
-        placed = placed.where("not is_query").unionByName(map_arrow(rows.groupBy("id").agg(F.min("v").alias("v")), spread, placed_schema).where("is_query"))
+    placed = map_arrow(rows, points, placed_schema).unionByName(map_arrow(asked, questions, placed_schema))
     best = map_arrow(placed.repartition("bucket").sortWithinPartitions("bucket"), compare, "q long, near array<struct<d: double, id: bigint>>")
     merged = best.groupBy("q").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
-    return merged.select(F.col("q").alias(id_column), F.transform("near", lambda x: F.struct(x["id"].alias("id"), x["d"].alias("distance"))).alias("neighbours"))
+    return asked.select(F.col("id").alias("q")).join(merged, "q", "left").select(F.col("q").alias(id_column), F.transform(F.coalesce("near", F.array().cast("array<struct<d: double, id: bigint>>")), lambda x: F.struct(x["id"].alias("id"), x["d"].alias("distance"))).alias("neighbours"))
