@@ -1,16 +1,16 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
-Every Arrow batch of training documents is a shard. Its word suffixes are sorted (prefix
-doubling on packed 64-bit keys, `np.sort`), to the depth of the longest test text: beyond it
-no comparison with a test suffix can look. Each suffix of each test text is then
-binary-searched in the shard's array, one word at a time, within the range that its earlier
-words left; the last range that isn't empty is its longest verbatim match, and the range at
-`min_words` holds all places that matter. A document that shares at least `min_words` words in
-sequence with a test text (or all words of a shorter one) is affected.
+Every Arrow batch of training documents is a shard. Its word suffixes are sorted once (prefix doubling on packed
+64-bit keys, `np.sort`), to the depth of `min_words`: deeper order isn't needed to find all places of a passage. Each suffix
+of each test text is then binary-searched in the shard's array, one word at a time, within the range that its earlier
+words left; the range at `min_words` holds all places that matter, and each is followed word by word, in the whole
+document, to the end of its verbatim match. A document that shares at least `min_words` words in sequence with a test
+text (or all words of a shorter one) is affected.
 
 Scale: one pass over the text without a shuffle; shards are independent and hold about
-`shard_bytes` of text. The test texts are sent to every executor; their size is checked
-against `max_benchmark_words`, and beyond it they are searched in several passes of that size.
+`shard_bytes` of text. A document longer than a shard's array is sorted in pieces that overlap by `min_words`. The test texts
+are sent in passes of at most `max_benchmark_words` words (or one longer text); a task holds one pass at a time, and
+searches all of them in the array that it sorted.
 
 Words are compared in lower case, without punctuation, by 64-bit hashes. Defined cases: null
 or empty texts have no match; a test text without words matches nothing; copies of a test
@@ -20,10 +20,11 @@ Other columns pass through remove_contaminated unchanged.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,64 +105,75 @@ def _bound(array: np.ndarray, order: np.ndarray, low: np.ndarray, high: np.ndarr
         high = np.where(open_ & ~below, middle, high)
 
 
-def search_shard(train: np.ndarray, train_offsets: np.ndarray, test: np.ndarray, test_offsets: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
-    """(document, item, length, document's word, item's word) of each longest match in one shard.
-
-    Hashes and offsets are those of textops.words. One row for each document and item: the
-    longest match, the first of several.
-    """
-    none = tuple(np.zeros(0, np.int64) for _ in range(5))
-    if not len(train) or not len(test):
-        return none
-    counts = np.diff(train_offsets)
-    vocabulary, where = _vocabulary(train)
-    # a separator ends each document; it equals no test symbol
-    doc_of_word = np.repeat(np.arange(len(counts)), counts)
-    symbols = np.zeros(len(train) + len(counts), np.int64)
-    symbols[np.arange(len(train)) + doc_of_word] = where + 1
-    begins = train_offsets[:-1] + np.arange(len(counts))
-    code = np.searchsorted(vocabulary, test)
-    code[code == len(vocabulary)] = 0
-    wanted = np.where(vocabulary[code] == test, code + 1, -2)
-    lengths = np.diff(test_offsets)
-    order = suffix_array(symbols, int(lengths.max()))
-
-    item = np.repeat(np.arange(len(lengths)), lengths)
-    start = np.arange(len(test))
-    remaining = test_offsets[1:][item] - start
-    need = np.minimum(min_words, lengths[item])
-    active = np.flatnonzero(remaining >= need)
-    low, high = np.zeros(len(active), np.int64), np.full(len(active), len(order), np.int64)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for k in range(min_words):
-        target = wanted[start[active] + k]
-        low, high = _bound(symbols, order, low, high, k, target, False), _bound(symbols, order, low, high, k, target, True)
-        ok = low < high
-        active, low, high = active[ok], low[ok], high[ok]
-        ready = need[active] == k + 1
-        found.append((active[ready], low[ready], high[ready]))
-        active, low, high = active[~ready], low[~ready], high[~ready]
-        if not len(active):
-            break
-    who, low, high = (np.concatenate(x) for x in zip(*found))
-    if not len(who):
-        return none
-    sizes = high - low
-    suffix = np.repeat(who, sizes)
-    place = order[np.repeat(low, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
-    length = need[suffix].copy()
-    going = np.arange(len(suffix))
-    while len(going):
-        at, to = place[going] + length[going], start[suffix[going]] + length[going]
-        ok = (length[going] < remaining[suffix[going]]) & (at < len(symbols))
-        going, at, to = going[ok], at[ok], to[ok]
-        going = going[symbols[at] == wanted[to]]
-        length[going] += 1
-    document = np.searchsorted(begins, place, side="right") - 1
-    best = np.lexsort((place, -length, item[suffix], document))
-    pair = document[best] * len(lengths) + item[suffix][best]
-    best = best[np.concatenate([[True], pair[1:] != pair[:-1]])]
-    return document[best], item[suffix][best], length[best], place[best] - begins[document[best]], start[suffix][best] - test_offsets[item[suffix][best]]
+class Shard:
+    """The suffix array of pieces of texts: (document, first word, end), where the words of document d end at offsets[d + 1]."""
+
+    def __init__(self, hashes: np.ndarray, offsets: np.ndarray, pieces: list[tuple[int, int, int]], min_words: int) -> None:
+        self.hashes, self.offsets, self.min_words = hashes, offsets, min_words
+        self.document, begin, end = (np.array(x, np.int64) for x in zip(*pieces))
+        counts = end - begin
+        self.first_word = begin
+        train = np.concatenate([hashes[b:e] for _, b, e in pieces])
+        self.vocabulary, where = _vocabulary(train)
+        # a separator ends each piece; it equals no test symbol
+        piece = np.repeat(np.arange(len(counts)), counts)
+        self.symbols = np.zeros(len(train) + len(counts), np.int64)
+        self.symbols[np.arange(len(train)) + piece] = where + 1
+        self.begins = np.cumsum(counts) - counts + np.arange(len(counts))
+        self.order = suffix_array(self.symbols, min_words)
+
+    def search(self, test: np.ndarray, test_offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(document, item, length, document's word, item's word) of each longest match in the shard.
+
+        Hashes and offsets are those of textops.words. One row for each document and item: the
+        longest match, the first of several.
+        """
+        none = tuple(np.zeros(0, np.int64) for _ in range(5))
+        if not len(test):
+            return none
+        code = np.searchsorted(self.vocabulary, test)
+        code[code == len(self.vocabulary)] = 0
+        wanted = np.where(self.vocabulary[code] == test, code + 1, -2)
+        lengths = np.diff(test_offsets)
+        item = np.repeat(np.arange(len(lengths)), lengths)
+        start = np.arange(len(test))
+        remaining = test_offsets[1:][item] - start
+        need = np.minimum(self.min_words, lengths[item])
+        active = np.flatnonzero(remaining >= need)
+        low, high = np.zeros(len(active), np.int64), np.full(len(active), len(self.order), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for k in range(self.min_words):
+            target = wanted[start[active] + k]
+            low, high = _bound(self.symbols, self.order, low, high, k, target, False), _bound(self.symbols, self.order, low, high, k, target, True)
+            ok = low < high
+            active, low, high = active[ok], low[ok], high[ok]
+            ready = need[active] == k + 1
+            found.append((active[ready], low[ready], high[ready]))
+            active, low, high = active[~ready], low[~ready], high[~ready]
+            if not len(active):
+                break
+        who, low, high = (np.concatenate(x) for x in zip(*found))
+        if not len(who):
+            return none
+        sizes = high - low
+        suffix = np.repeat(who, sizes)
+        place = self.order[np.repeat(low, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
+        piece = np.searchsorted(self.begins, place, side="right") - 1
+        document = self.document[piece]
+        word = self.first_word[piece] + place - self.begins[piece]
+        end = self.offsets[document + 1]
+        length = need[suffix].copy()
+        going = np.arange(len(suffix))
+        while len(going):
+            at, to = word[going] + length[going], start[suffix[going]] + length[going]
+            ok = (length[going] < remaining[suffix[going]]) & (at < end[going])
+            going, at, to = going[ok], at[ok], to[ok]
+            going = going[self.hashes[at] == test[to]]
+            length[going] += 1
+        best = np.lexsort((word, -length, item[suffix], document))
+        pair = document[best] * len(lengths) + item[suffix][best]
+        best = best[np.concatenate([[True], pair[1:] != pair[:-1]])]
+        return document[best], item[suffix][best], length[best], word[best] - self.offsets[document[best]], start[suffix][best] - test_offsets[item[suffix][best]]
 
 
 def _vocabulary(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,8 +215,11 @@ def _test_passes(benchmark: DataFrame, max_words: int) -> Iterator[tuple[np.ndar
 def _pieces(offsets: np.ndarray, overlap: int, most: int = (1 << 20) - 2) -> Iterator[list[tuple[int, int, int]]]:
     """Lists of (document, first word, end) with fewer than 2**20 words and separators in all.
 
-    A document that is longer comes in pieces that overlap by the longest test text, so that no match is lost.
+    A document that is longer comes in pieces that overlap by `overlap` words (at most half a piece), so that no
+    passage of as many is lost.
     """
+    if 2 * overlap > most:
+        raise ValueError("the overlap is at most half a piece")
     held: list[tuple[int, int, int]] = []
     size = 0
     for d in range(len(offsets) - 1):
@@ -221,25 +236,30 @@ def _pieces(offsets: np.ndarray, overlap: int, most: int = (1 << 20) - 2) -> Ite
         yield held
 
 
-def match_texts(texts: list, passes: list[tuple[np.ndarray, np.ndarray, np.ndarray]], min_words: int) -> list[dict[int, dict]]:
+def match_texts(texts: list, passes: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], min_words: int, most: int = (1 << 20) - 2) -> list[dict[int, dict]]:
     """For each text, its matches by item."""
     hashes, offsets = words(texts)
     out: list[dict[int, dict]] = [{} for _ in texts]
+    shards = [Shard(hashes, offsets, pieces, min_words) for pieces in _pieces(offsets, min_words, most)]
     for ids, test, test_offsets in passes:
-        overlap = int(np.diff(test_offsets).max(initial=0))
-        for pieces in _pieces(offsets, overlap):
-            sizes = np.array([e - b for _, b, e in pieces])
-            train = np.concatenate([hashes[b:e] for _, b, e in pieces])
-            found = search_shard(train, np.concatenate([[0], np.cumsum(sizes)]), test, test_offsets, min_words)
-            for k, i, n, at, item_at in zip(*(x.tolist() for x in found)):
-                d, begin, _ = pieces[k]
+        for shard in shards:
+            for d, i, n, at, item_at in zip(*(x.tolist() for x in shard.search(test, test_offsets))):
                 item = int(ids[i])
-                if n > out[d].get(item, {"words": 0})["words"]:
-                    out[d][item] = {"item_id": item, "words": n, "doc_word": at + begin - int(offsets[d]), "item_word": item_at}
+                old = out[d].get(item)
+                if old is None or n > old["words"] or (n == old["words"] and at < old["doc_word"]):
+                    out[d][item] = {"item_id": item, "words": n, "doc_word": at, "item_word": item_at}
     return out
 
 
-def _send(docs: DataFrame, benchmark: DataFrame, max_words: int) -> list:
+def _each(sent: list[Broadcast]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The passes, of which a task holds one at a time; it reads the next from the executor's store."""
+    for x in sent:
+        yield x.value
+        if len(sent) > 1:
+            vars(x).pop("_value", None)
+
+
+def _send(docs: DataFrame, benchmark: DataFrame, max_words: int) -> list[Broadcast]:
     return [docs.sparkSession.sparkContext.broadcast(x) for x in _test_passes(benchmark, max_words)]
 
 
@@ -256,7 +276,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, sh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, limit=shard_bytes):
-                found = match_texts(part.column("text").to_pylist(), [x.value for x in sent], min_words)
+                found = match_texts(part.column("text").to_pylist(), _each(sent), min_words)
                 matches = [[x[i] for i in sorted(x)] for x in found]
                 longest = [max((m["words"] for m in x), default=0) for x in matches]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([bool(x) for x in matches]), pa.array(longest, pa.int32()), pa.array(matches, _INT)], names=["doc_id", "contaminated", "longest_match", "matches"])
@@ -268,7 +288,9 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int =
     """The rows that share no passage of min_words words with a test text; columns as in docs."""
     sent = _send(docs, benchmark, max_benchmark_words)
 
+    place = [c.lower() for c in docs.columns].index("text")
+
     def clean(part: pa.RecordBatch) -> list[bool]:
-        return [not x for x in match_texts(part.column("text").to_pylist(), [x.value for x in sent], min_words)]
+        return [not x for x in match_texts(part.column(place).to_pylist(), _each(sent), min_words)]
 
     return keep_rows(docs, clean, shard_bytes)

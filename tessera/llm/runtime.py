@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -21,12 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: the rows are written to the shared folder of spark.checkpoint.dir and read back.
 
-    The folder comes from the session; only where it is unset (tests on one machine) a
-    temporary folder is set.
+    The folder comes from the session; only where it is unset on a single machine (master local: tests) a temporary
+    folder is set. On a cluster without it there is no folder that executors share: that is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -38,7 +41,8 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4_000_
     """
     if not batch.num_rows:
         return
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+    place = [x.lower() for x in batch.schema.names].index(column)  # names are compared as Spark does
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
     begin = 0
     while begin < batch.num_rows:
         done = size[begin - 1] if begin else 0
