@@ -1,9 +1,9 @@
 """Personal data replaced by surrogates that are keyed, of the same type, script and format, and distinct.
 
-Detected: e-mail addresses, phone numbers, IPv4 and IPv6 addresses, payment card numbers, US social
-security numbers, IBANs, secrets (access keys, hexadecimal tokens, passwords in assignments) and persons (a given
-name of the lexicon with a surname, or a title with a surname; single names that belong to such a
-mention are replaced in the rest of the document, too).
+Detected: e-mail addresses, phone numbers, IPv4 and IPv6 addresses, payment card numbers with a valid check digit, US social
+security numbers, IBANs, secrets (access keys, hexadecimal tokens, passwords in assignments) and persons: a given
+name of the lexicon with a surname, names after a title, and names after words that introduce one ("my name is", "Name:",
+"Signed by", ...), in the lexicon or not. Names that belong to such a mention are replaced in the rest of the document, too.
 
 A surrogate is the image of the entity under a keyed permutation of all strings of its format. The permutation
 is a shift by one, conjugated with a keyed Feistel permutation: one cycle through the format's
@@ -12,7 +12,7 @@ the same in every document and every run. This holds without a dictionary and at
 
 * e-mail: letters stay letters of their script and case, digits digits; the top-level domain stays
   and a mail domain has one surrogate for all its addresses;
-* phone: country code and punctuation stay; cards: the first digit, the grouping and the (in)validity
+* phone: country code and punctuation stay; cards: the first digit, the grouping and the validity
   of the Luhn digit stay; IBAN: country, and the check digits become valid where they were valid;
 * IPv4 and IPv6: octets or groups stay in range; secrets: letters, digits and case stay;
 * persons: a given name becomes another of the same gender and script; surnames change letter by letter, vowels to
@@ -22,7 +22,11 @@ the same in every document and every run. This holds without a dictionary and at
 Addresses, cards and names count as one entity whatever their punctuation, and names and e-mail addresses
 whatever their case; the case of a mention is kept.
 
-Scale: one pass without a shuffle. Defined cases: a null text stays null and has no entity; rows
+The key comes from the session's setting `tessera.pii.key`; there is no default key. Where it is unset, a random one is made
+and kept in the session: surrogates are then consistent within the session and can't be undone or joined by anyone
+who has only this code. Set it to have the same surrogates in several runs.
+
+Scale: one pass without a shuffle, in time linear in the length of a text. Defined cases: a null text stays null and has no entity; rows
 that share a doc_id are handled each; a format with a single string (no letter or digit) stays; other
 columns pass through replace_pii unchanged.
 """
@@ -31,16 +35,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .runtime import map_arrow, replace_text, text_slices
 
-KEY = b"tessera-surrogates"
+KEY_SETTING = "tessera.pii.key"
 
 GIVEN = {
     ("latin", "f"): "mary patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa margaret sandra ashley emily donna michelle carol amanda melissa deborah stephanie rebecca laura helen sharon cynthia kathleen amy anna marie sophie camille juliette claire chloe isabelle monika ursula petra sabine ingrid heike katrin lucia carmen maria isabel pilar dolores elena".split(),
@@ -58,7 +63,7 @@ _LETTER = {c: k for k, letters in enumerate(CLASSES) for c in letters}
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 HEX = "0123456789abcdef"
 
-EMAIL = re.compile(r"[\w.%+\-]*[\w%+\-]@(?:[\w\-]+\.)+[^\W\d_]{2,}")
+EMAIL = re.compile(r"(?<![\w.%+\-])[\w.%+\-]++(?<!\.)@(?:[\w\-]+\.)+[^\W\d_]{2,}")
 NUMBER = re.compile(r"(?<![\w.@])(?:\+\d{1,3}[^\w\n]{0,6}\(?\d[\d \-./()*#$%&!]*\d|\(\d{2,4}\)[ \-.]{0,2}\d[\d \-.]{4,}\d|\d[\d.\-]*\d(?:[ ][\d.\-]*\d)*)(?![\w@])")
 IPV4 = re.compile(r"(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}")
 IPV6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")
@@ -71,14 +76,28 @@ ASSIGNED = re.compile(r"(?i)(?<![^\W_])(?:password|passwd|pwd|token|secret|api_?
 TITLES = ("Mr", "Ms", "Mme", "Miss", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Señor")
 DIGIT = re.compile(r"\d")
 SECRET_HEADS = ("AKIA", "ASIA", "akia", "asia", "sk-", "sk_", "pk-", "pk_", "ghp_", "gho_", "xoxb-", "glpat-")
-TITLED = re.compile(r"(?<!\w)(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora|Mme)\.? ((?:[A-ZÀ-ÞА-ЯΑ-Ω][\w'’\-]+ )?[A-ZÀ-ÞА-ЯΑ-Ω][\w'’\-]+)")
-PAIR = re.compile(r"([A-ZÀ-ÞА-ЯΑ-ΩΆ-Ώ][\w\-]+)(?= ([A-ZÀ-ÞА-ЯΑ-ΩΆ-Ώ][\w'’\-]+))")
+_NAME = r"[A-ZÀ-ÞА-ЯΑ-ΩΆ-Ώ][\w'’\-]{1,60}+"
+TITLED = re.compile(rf"(?<!\w)(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora|Mme)\.? ((?:{_NAME} )?{_NAME})")
+PAIR = re.compile(rf"(?<![^\W_])([A-ZÀ-ÞА-ЯΑ-ΩΆ-Ώ][\w\-]{{1,60}}+)(?= ({_NAME}))")
+#: Words that introduce the name of a person.
+CUES = ("ame is ", "ame:", "igned", "incerely,", "egards,", "ttn", "ich heiße ", "m'appelle ", "me llamo ", "меня зовут ")
+CUED = re.compile(rf"(?<!\w)(?:[Mm]y name is|[Nn]ame:|[Ss]igned(?: by|:)|[Ss]incerely,|[Rr]egards,|[Aa]ttn[.:]|[Ii]ch heiße|[Jj]e m'appelle|[Mm]e llamo|[Мм]еня зовут)\s{{1,3}}({_NAME}(?: {_NAME})?)")
+WORD = re.compile(r"\w+")
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key of the session, made where it has none."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return hashlib.blake2b(key.encode(), digest_size=32).digest()
 
 
 class Permuter:
     """Keyed permutations of ranges of integers, without fixed points."""
 
-    def __init__(self, key: bytes = KEY) -> None:
+    def __init__(self, key: bytes) -> None:
         self.key = key
 
     def _round(self, tweak: bytes, i: int, value: int, bits: int) -> int:
@@ -132,6 +151,12 @@ def _luhn(payload: str) -> int:
     return -total % 10
 
 
+def _is_card(mention: str) -> bool:
+    """Whether a number of 13 to 19 digits is that of a payment card: an issuer's first digit and a valid Luhn digit."""
+    digits = "".join(c for c in mention if "0" <= c <= "9")
+    return len(digits) > 12 and digits[0] in "23456" and _luhn(digits[:-1]) == int(digits[-1])
+
+
 def _like(surrogate: str, mention: str) -> str:
     """The surrogate (lower case) in the case of the mention."""
     return "".join(s.upper() if m.isupper() and len(s.upper()) == 1 else s for s, m in zip(surrogate, mention))
@@ -146,7 +171,7 @@ def _fill(mention: str, new: str, of: str = "0123456789") -> str:
 class Surrogates:
     """The surrogate of every kind of entity, under one key."""
 
-    def __init__(self, key: bytes = KEY) -> None:
+    def __init__(self, key: bytes) -> None:
         self.p = Permuter(key)
         self.replace = lru_cache(1 << 16)(self._replace)
 
@@ -231,6 +256,22 @@ class Surrogates:
         return getattr(self, f"_{kind}")(mention)
 
 
+def _mentions(text: str, persons: dict[str, str]) -> list[tuple[int, int, str]]:
+    """All mentions of the names, as written or in capitals: one pass over the words of the text."""
+    by_word: dict[str, list[tuple[str, str]]] = {}
+    for name, kind in persons.items():
+        kind = "given" if name.lower() in _GIVEN_OF else kind
+        for form in {name, name.upper()}:
+            by_word.setdefault(WORD.match(form)[0], []).append((form, kind))
+    out = []
+    for m in WORD.finditer(text):
+        for form, kind in by_word.get(m[0], ()):
+            end = m.start() + len(form)
+            if text.startswith(form, m.start()) and not WORD.match(text[end : end + 1]):
+                out.append((m.start(), end, kind))
+    return out
+
+
 def find_entities(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities of a text, in order and without overlap; the first kind that fits wins."""
     found: list[tuple[int, int, str]] = []
@@ -261,23 +302,25 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
         for pattern, kind in ((CARD, "card"), (IPV4, "ipv4"), (SSN, "ssn"), (LOCAL_PHONE, "phone")):
             for x in pattern.finditer(run):
                 before, after = run[x.start() - 1 : x.start()], run[x.end() : x.end() + 1]
+                if kind == "card" and not _is_card(x[0]):
+                    continue
                 if not before.isdigit() and not after.isdigit() and not (kind != "phone" and (after in "-" and after or before in "-" and before)):
                     found.append((a + x.start(), a + x.end(), kind))
     persons: dict[str, str] = {}
     for m in PAIR.finditer(text):
-        if m[1].lower() in _GIVEN_OF and not text[m.start() - 1 : m.start()].isalnum():
+        if m[1].lower() in _GIVEN_OF:
             found += [(*m.span(1), "given"), (*m.span(2), "surname")]
             persons |= {m[1]: "given", m[2]: "surname"}
-    for m in TITLED.finditer(text) if any(x in text for x in TITLES) else ():
+    named = [*(TITLED.finditer(text) if any(x in text for x in TITLES) else ()), *(CUED.finditer(text) if any(x in text for x in CUES) else ())]
+    for m in named:
         at = m.start(1)
         for part in m[1].split(" "):
             kind = "given" if part.lower() in _GIVEN_OF else "surname"
             found.append((at, at + len(part), kind))
             persons.setdefault(part, kind)
             at += len(part) + 1
-    for name, kind in persons.items():
-        kind = "given" if name.lower() in _GIVEN_OF else kind
-        found += [(*m.span(), kind) for m in re.finditer(rf"(?<!\w)(?:{re.escape(name)}|{re.escape(name.upper())})(?!\w)", text)]
+    if persons:
+        found += _mentions(text, persons)
     rank = {k: i for i, k in enumerate(("email", "iban", "secret", "ipv6", "card", "ipv4", "ssn", "phone", "given", "surname"))}
     out: list[tuple[int, int, str]] = []
     for a, b, kind in sorted(found, key=lambda e: (e[0], rank[e[2]], -e[1])):
@@ -307,8 +350,12 @@ def surrogate_text(text: str | None, s: Surrogates) -> tuple[str | None, list[di
     return ("".join([*parts, text[at:]]) if entities else text), entities
 
 
-def surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(doc_id, text, n_entities, entities) of every row of docs: the new text and what it has in place of personal data."""
+def surrogates(docs: DataFrame, key: bytes | None = None) -> DataFrame:
+    """(doc_id, text, n_entities, entities) of every row of docs: the new text and what it has in place of personal data.
+
+    The key is that of the session where none is given.
+    """
+    key = key or session_key(docs.sparkSession)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,6 +369,7 @@ def surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     return map_arrow(rows, run, "doc_id long, text string, n_entities int, entities array<struct<kind: string, begin: int, end: int, surrogate: string>>")
 
 
-def replace_pii(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """The rows of docs with surrogates in their texts; columns as in docs."""
+def replace_pii(docs: DataFrame, key: bytes | None = None) -> DataFrame:
+    """The rows of docs with surrogates in their texts; columns as in docs. The key is that of the session where none is given."""
+    key = key or session_key(docs.sparkSession)
     return replace_text(docs, lambda texts: [surrogate_text(t, s)[0] for s in [Surrogates(key)] for t in texts])
