@@ -46,7 +46,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page, written as segmented WARC records with chunked bodies and put together again."""
     done = reassemble(to_records(table(spark, sf_dir, "pages")))
-    return done.select(F.regexp_extract("record_id", "^<urn:page:(-?[0-9]+)>$", 1).cast("long").alias("page_id"), "url", "status", "n_bytes", F.decode("body", "UTF-8").alias("html"))
+    return done.select(F.regexp_extract("record_id", "^<urn:page:(-?[0-9]+):", 1).try_cast("long").alias("page_id"), "url", "status", "n_bytes", F.decode("body", "UTF-8").alias("html"))
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,5 +73,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_benchmark_decontamination, op3_html_extraction, op4_pii_surrogates, op5_language_id, op6_warc_reassembly, op7_lm_scoring, op8_best_fit_packing, op9_nearest_neighbours, op10_toxicity)}
 
 ORACLES = {
-    "op6_warc_reassembly": "SELECT page_id, url, 'ok' AS status, strlen(html) AS n_bytes, html FROM pages",
+    "op6_warc_reassembly": "SELECT page_id, url, CASE WHEN html IS NULL THEN 'no_payload' ELSE 'ok' END AS status, strlen(html) AS n_bytes, html FROM pages",
 }
