@@ -10,23 +10,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ABBREVIATIONS = frozenset("dr mr mrs ms prof sr jr st vs etc e.g i.e fig no vol inc ltd co corp dept approx".split())
+#: Titles, companies, ranks, months and measures that a period may follow within a sentence.
+ABBREVIATIONS = frozenset(
+    """mr mrs ms dr prof sr jr st rev hon mgr supt pres gov gen sgt cpl pvt
+    vs etc inc ltd corp co dept fig eq vol no op approx est min max
+    jan feb mar apr jun jul aug sep sept oct nov dec""".split()
+)
 LABELS = ("[Page ", "[Slide ", "[Sheet ", "[Document]", "[Header ", "[Footer ")
 CHUNKS = "array<struct<content: string, chunk_index: int, heading: string>>"
 
 
 def sentences(text: str) -> list[str]:
-    """Sentences end at . ! or ? before white space, but not after abbreviations, initials, in numbers or ellipses."""
+    """Sentences end at . ! or ? before white space or the end, but not at the period of an abbreviation or a single letter."""
     out, begin = [], 0
-    for m in re.finditer(r"[.!?]+(?=\s|$)", text):
-        word = re.split(r"\s", text[begin : m.start()])[-1]
-        if m[0] == "." and (word.lower().lstrip("(\"'") in ABBREVIATIONS or re.fullmatch(r"[A-Z]|(?:[A-Za-z]\.)+[A-Za-z]", word)):
-            continue
-        if m[0].startswith("...") and re.match(r"\s+[a-z]", text[m.end() :]):
-            continue
-        if part := text[begin : m.end()].strip():
+    for m in re.finditer(r"[.!?](?=\s|$)", text):
+        at = m.start()
+        if m[0] == ".":
+            word = re.search(r"[^\W\d_]*$", text[max(0, at - 24) : at])[0]
+            if len(word) == 1 or word.lower() in ABBREVIATIONS:
+                continue
+        if part := text[begin : at + 1].strip():
             out.append(part)
-        begin = m.end()
+        begin = at + 1
     return out + [rest] if (rest := text[begin:].strip()) else out
 
 

@@ -1,9 +1,10 @@
-"""Text of files by format: plain text, HTML, notebooks, OOXML, ODF and RTF, as one Arrow-batched function."""
+"""Text of files by format: plain text, HTML, notebooks, PDF, OOXML, ODF and RTF, as one Arrow-batched function."""
 
 from __future__ import annotations
 
 import io
 import json
+import posixpath
 import re
 import zipfile
 from html.parser import HTMLParser
@@ -14,7 +15,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .pdf import pdf_text
+
 TEXT_LIMIT = 8 << 20
+#: Files of other formats that are larger aren't read.
+SIZE_LIMIT = 100 << 20
 TEXT = frozenset("txt md rst py go rs js ts tsx jsx java kt c h cc cpp hpp cs rb php sh sql css json yaml yml toml ini cfg xml csv tsv log tex r swift scala lua pl".split())
 _HIDDEN = {"script", "style", "noscript"}
 _BLOCK = set("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 section article header footer nav main aside pre blockquote title body hr form dl dt dd".split())
@@ -88,6 +93,36 @@ def _paragraphs(root: ElementTree.Element, paragraph: str = "p") -> list[str]:
     return out
 
 
+def _table_rows(root: ElementTree.Element) -> list[str]:
+    """Paragraphs in order, a table's row as one line with its cells between bars."""
+    out: list[str] = []
+    for node in root:
+        kind = _local(node.tag)
+        if kind == "tr":
+            cells = [" ".join(_table_rows(c)) for c in node if _local(c.tag) == "tc"]
+            if any(cells):
+                out.append(" | ".join(cells))
+        elif kind == "p":
+            out += _paragraphs(ElementTree.ElementTree(node).getroot())[:1]
+        else:
+            out += _table_rows(node)
+    return out
+
+
+def _targets(z: zipfile.ZipFile, part: str) -> dict[str, str]:
+    """Paths in the archive by relationship, of a part."""
+    folder, _, name = part.rpartition("/")
+    rels = f"{folder}/_rels/{name}.rels"
+    if rels not in z.namelist():
+        return {}
+    found = ElementTree.fromstring(z.read(rels))
+    return {r.get("Id", ""): posixpath.normpath(t[1:] if (t := r.get("Target", "")).startswith("/") else f"{folder}/{t}") for r in found.iter() if _local(r.tag) == "Relationship"}
+
+
+def _related(node: ElementTree.Element) -> str:
+    return next((v for k, v in node.attrib.items() if k.endswith("}id")), "")
+
+
 def _number(name: str) -> int:
     return int(m[1]) if (m := re.search(r"(\d+)\.xml$", name)) else 0
 
@@ -97,30 +132,56 @@ def docx_text(z: zipfile.ZipFile) -> str:
     for name in sorted(z.namelist()):
         if m := re.fullmatch(r"word/(document|header(\d*)|footer(\d*))\.xml", name):
             label = "[Document]" if m[1] == "document" else f"[{m[1][:6].capitalize()} {_number(name) or 1}]"
-            if body := _paragraphs(ElementTree.fromstring(z.read(name))):
+            if body := _table_rows(ElementTree.fromstring(z.read(name))):
                 out.append("\n".join([label, *body]))
     return "\n\n".join(out)
 
 
+def _slide(z: zipfile.ZipFile, name: str, without: tuple[str, ...] = ()) -> list[str]:
+    """Paragraphs of a slide or of notes, without placeholders of some kinds (numbers, dates)."""
+    root = ElementTree.fromstring(z.read(name))
+    for parent in list(root.iter()):
+        for shape in [s for s in parent if _local(s.tag) == "sp"]:
+            if any(_local(x.tag) == "ph" and x.get("type") in without for x in shape.iter()):
+                parent.remove(shape)
+    return _paragraphs(root)
+
+
 def pptx_text(z: zipfile.ZipFile) -> str:
+    """Slides in the order of the presentation (by file number where it doesn't say), each with its notes."""
+    names = set(z.namelist())
+    slides: list[str] = []
+    if "ppt/presentation.xml" in names:
+        targets = _targets(z, "ppt/presentation.xml")
+        slides = [t for n in ElementTree.fromstring(z.read("ppt/presentation.xml")).iter() if _local(n.tag) == "sldId" and (t := targets.get(_related(n), "")) in names]
     out = []
-    for name in sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=_number):
-        body = _paragraphs(ElementTree.fromstring(z.read(name)))
-        notes = name.replace("slides/slide", "notesSlides/notesSlide")
-        said = _paragraphs(ElementTree.fromstring(z.read(notes))) if notes in z.namelist() else []
+    for name in slides or sorted((n for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=_number):
+        body = _slide(z, name)
+        notes = next((t for t in _targets(z, name).values() if "/notesSlides/" in t), name.replace("slides/slide", "notesSlides/notesSlide"))
+        said = _slide(z, notes, ("sldNum", "dt")) if notes in names else []
         if body or said:
             out.append("\n".join([f"[Slide {_number(name)}]", *body, *(["[Notes]", *said] if said else [])]))
     return "\n\n".join(out)
 
 
 def xlsx_text(z: zipfile.ZipFile) -> str:
+    """Sheets in the order of the workbook; one that can't be read is passed over."""
     names = set(z.namelist())
     shared = ["".join(t.text or "" for t in si.iter() if _local(t.tag) == "t") for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if _local(si.tag) == "si"] if "xl/sharedStrings.xml" in names else []
-    titles = [s.get("name", "") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if _local(s.tag) == "sheet"] if "xl/workbook.xml" in names else []
+    sheets: list[tuple[str, str]] = []
+    if "xl/workbook.xml" in names:
+        targets = _targets(z, "xl/workbook.xml")
+        sheets = [(n.get("name", ""), t) for n in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if _local(n.tag) == "sheet" and (t := targets.get(_related(n), "")) in names]
+    if not sheets:
+        sheets = [(str(_number(n)), n) for n in sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=_number)]
     out = []
-    for i, name in enumerate(sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=_number)):
+    for title, name in sheets:
+        try:
+            cells = [x for x in ElementTree.fromstring(z.read(name)).iter() if _local(x.tag) == "c"]
+        except (ElementTree.ParseError, zipfile.BadZipFile):
+            continue
         rows = []
-        for c in (x for x in ElementTree.fromstring(z.read(name)).iter() if _local(x.tag) == "c"):
+        for c in cells:
             parts = {_local(x.tag): "".join(x.itertext()) for x in c}
             value, formula, kind = parts.get("v", parts.get("is", "")), parts.get("f"), c.get("t")
             if kind == "s" and value.isdigit() and int(value) < len(shared):
@@ -132,7 +193,7 @@ def xlsx_text(z: zipfile.ZipFile) -> str:
             elif value:
                 rows.append(f"{c.get('r')}: {value}")
         if rows:
-            out.append("\n".join([f"[Sheet {titles[i] if i < len(titles) else i + 1}]", *rows]))
+            out.append("\n".join([f"[Sheet {title}]", *rows]))
     return "\n\n".join(out)
 
 
@@ -154,7 +215,9 @@ def odf_text(z: zipfile.ZipFile) -> str:
                 cells = []
                 for c in (c for c in row if _local(c.tag) == "table-cell"):
                     times = min(1000, int(next((v for k, v in c.attrib.items() if _local(k) == "number-columns-repeated"), "1")))
-                    cells += ["".join(c.itertext()).strip()] * times
+                    formula = next((v for k, v in c.attrib.items() if _local(k) == "formula"), "")
+                    value = "".join(c.itertext()).strip()
+                    cells += [f"{formula.partition(':')[2] or formula} -> {value}" if formula else value] * times
                 if any(cells):
                     rows.append(" | ".join(cells).rstrip(" |"))
             out.append("\n".join([f"[Sheet {named(t)}]", *rows]))
@@ -201,6 +264,8 @@ def tidy(text: str) -> str:
 def extract(path: str, data: bytes) -> tuple[str, str | None]:
     """(text, error): the first reader that knows the extension; unknown and binary files have no text."""
     ext = path.rpartition("/")[2].rpartition(".")[2].lower()
+    if ext not in TEXT and len(data) > SIZE_LIMIT:
+        return "", "too_large"
     try:
         if ext in ("docx", "pptx", "xlsx", "odt", "ods", "odp"):
             if data[:8] == b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1":
@@ -211,12 +276,14 @@ def extract(path: str, data: bytes) -> tuple[str, str | None]:
             return html_text(data.decode("utf-8", "replace")), None
         if ext == "ipynb":
             return tidy(notebook_text(data)), None
+        if ext == "pdf":
+            return tidy(pdf_text(data)), None
         if ext == "rtf":
             return rtf_text(data), None
         if ext in TEXT or path.rpartition("/")[2].lower() in ("makefile", "dockerfile", "readme", "license"):
             return ("" if looks_binary(data) else data[:TEXT_LIMIT].decode("utf-8", "replace")), None
     except (zipfile.BadZipFile, KeyError, ValueError, ElementTree.ParseError) as error:
-        return "", type(error).__name__
+        return "", "encrypted" if str(error) == "encrypted" else type(error).__name__
     return "", None
 
 

@@ -18,6 +18,10 @@ class SearchFilter:
     collection: str = ""
     path_prefix: str = ""
 
+    @property
+    def is_set(self) -> bool:
+        return bool(self.file_types or self.languages or self.tags or self.collection or self.path_prefix)
+
     def predicate(self) -> Column:
         out = F.lit(True)
         if self.file_types:

@@ -26,6 +26,15 @@ def weights(query: str) -> tuple[float, float]:
     return (0.7, 1.4) if n >= 4 else (1.0, 1.0)
 
 
+def override(kw: float, vec: float, keyword: float = 0.0, vector: float = 0.0) -> tuple[float, float]:
+    """Weights with an override of one, the other keeping the ratio; the vector's is applied last."""
+    if keyword > 0:
+        kw, vec = keyword, vec * keyword / kw
+    if vector > 0:
+        kw, vec = kw * vector / vec, vector
+    return kw, vec
+
+
 def rrf(kw: float, vec: float) -> Column:
     return vec / (RRF + F.col("vec_rank")) + F.when(F.col("kw_rank") > 0, kw / (RRF + F.col("kw_rank"))).otherwise(0.0)
 

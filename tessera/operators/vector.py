@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -54,7 +57,75 @@ def centroids(chunks: DataFrame, key: str, position: str) -> DataFrame:
     return flat.groupBy(key, "dim").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("value"))
 
 
-def max_sim(query: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
+def doc_vectors(chunks: DataFrame, key: str, position: str) -> DataFrame:
+    """(key, codes): the weighted mean vector of each document, of unit length, as int8 codes."""
+    parts = centroids(chunks, key, position).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("p"))
+    return parts.select(key, int8_codes(normalize(F.transform("p", lambda x: x["value"]))).alias("codes"))
+
+
+def top_documents(docs: DataFrame, query: list[float], n: int = 100) -> DataFrame:
+    """(path, score): the n documents whose vectors (codes) have the highest product with the query."""
+    q = F.array(*(F.lit(float(x)) for x in query))
+    return docs.select("path", F.round(dot(int8_decode(F.col("codes")), q), 6).alias("score")).orderBy(F.desc("score"), "path").limit(n)
+
+
+def cosine_distance(a: Column, b: Column) -> Column:
+    """1 - cosine; 1 for a zero vector."""
+    size = norm(a) * norm(b)
+    return F.when(size == 0, 1.0).otherwise(1 - dot(a, b) / size)
+
+
+@F.pandas_udf(T.BinaryType())
+def float32_encode(v: pd.Series) -> pd.Series:
+    """Little-endian single-precision bytes of a vector."""
+    return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def float32_decode(b: pd.Series) -> pd.Series:
+    """The vector of little-endian single-precision bytes; null where their number isn't a multiple of four."""
+    return b.map(lambda x: None if x is None or len(x) % 4 else np.frombuffer(x, "<f4"))
+
+
+def projection_matrix(rows: int, columns: int, seed: int = 7) -> np.ndarray:
+    """Random normal entries of variance 2 / columns; the same for the same seed."""
+    return np.random.default_rng(seed).standard_normal((rows, columns)) * (2.0 / columns) ** 0.5
+
+
+def project(v: Column, matrix: np.ndarray) -> Column:
+    """Unit vectors after a random projection to as many dimensions as the matrix has rows, as int8 codes; null for another dimension than the matrix's."""
+
+    @F.pandas_udf("low double, scale double, codes array<int>")
+    def run(batch: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in batch:
+            if x is None or len(x) != matrix.shape[1]:
+                rows.append((None, None, None))
+                continue
+            y = matrix @ np.asarray(x, float)
+            size = np.linalg.norm(y)
+            y = y / size if size else y
+            low, scale = y.min(), (y.max() - y.min()) / 255
+            codes = np.floor((y - low) / scale + 0.5) if scale else np.zeros(len(y))  # half away from zero
+            rows.append((low, scale, np.clip(codes, 0, 255).astype(np.int32)))
+        return pd.DataFrame(rows, columns=["low", "scale", "codes"])
+
+    return run(v)
+
+
+def capped_brute_force(vectors: DataFrame, query: DataFrame, k: int, cap: int = 20_000, id_column: str = "doc_id") -> DataFrame:
+    """top_by_dot, if no more than `cap` vectors are to be compared: 0 is never, less than 0 always."""
+    if cap == 0 or (cap > 0 and vectors.limit(cap + 1).count() > cap):
+        return vectors.sparkSession.createDataFrame([], f"{id_column} long, score double")
+    return top_by_dot(vectors, query, k, id_column)
+
+
+def max_sim(query: DataFrame, tokens: DataFrame, key: str, position: str | None = None, most: int = 128) -> DataFrame:
     """(key, score): the mean over query vectors (qid, q) of the best product with a document's vectors, at least 0."""
-    each = tokens.crossJoin(F.broadcast(query)).groupBy(key, "qid").agg(F.greatest(F.max(dot(F.col("v"), F.col("q"))), F.lit(0.0)).alias("best"))
+    kept = tokens
+    if position is not None:  # a document keeps its first `most` vectors
+        kept = tokens.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(position))).where(F.col("_nth") <= most)
+    if query.count() > most:
+        raise ValueError(f"a query has at most {most} vectors")
+    each = kept.crossJoin(F.broadcast(query)).groupBy(key, "qid").agg(F.greatest(F.max(dot(F.col("v"), F.col("q"))), F.lit(0.0)).alias("best"))
     return each.groupBy(key).agg(F.round(F.avg("best"), 6).alias("score"))

@@ -2,39 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.chunking import Splitter, sentence_array
-from ..functions.extract import html_column
-from ..operators import fts, ranking, vector
+from ..engine import within_budget
+from ..operators import ranking, vector
 from ..operators.filters import SearchFilter
-from ..operators.search import hybrid_search as hybrid
+from ..sources.store import below, chunks_by_hash, chunk_by_id, replace_rows, upsert
 from ..sources.tables import corpus, table, vectors
 from ..streaming import live
+from .registry import ORACLES, QUERIES, D, V, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-D = "d AS (SELECT doc_id, concat(source, '/', lang, '/doc_', doc_id, '.txt') AS path, source AS collection, lang AS language, text, 60 * 86400 - doc_id * 3600 AS age FROM documents)"
-TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
-V = "v AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v, label FROM embeddings)"
-
-
-def query(sql: str | None = None) -> Callable:
-    """Registers a query, with its SQL."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+from . import catalog_search, catalog_state, catalog_text  # noqa: F401, E402 - they register their queries
 
+__all__ = ["ORACLES", "QUERIES"]
 
 # --- sources, filters, catalog ---
 
@@ -45,10 +26,39 @@ def list_sources(spark, sf):
     return corpus(spark, sf).orderBy("path").limit(100).select("doc_id", "path", "collection")
 
 
-@query(f"WITH {D} SELECT doc_id, path, language FROM d WHERE path = 'src3/en/doc_' || doc_id || '.txt'")
+@query(f"WITH {D} SELECT doc_id, path, language FROM d WHERE path = (SELECT path FROM d WHERE doc_id = 7)")
 def point_lookup(spark, sf):
-    """Documents whose path is the one their id has in one collection and language."""
-    return corpus(spark, sf).where(F.col("path") == F.concat(F.lit("src3/en/doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))).select("doc_id", "path", "language")
+    """The document of a path."""
+    path = corpus(spark, sf).where("doc_id = 7").select("path").first()["path"]
+    return corpus(spark, sf).where(F.col("path") == path).select("doc_id", "path", "language")
+
+
+@query("SELECT doc_id AS chunk_id, concat(source, '/', lang, '/doc_', doc_id, '.txt') AS path, text AS content FROM documents WHERE doc_id = 12")
+def chunk_lookup(spark, sf):
+    """A chunk with its document, by number."""
+    c = corpus(spark, sf)
+    chunks = c.select(F.col("doc_id").alias("chunk_id"), "doc_id", F.col("text").alias("content"))
+    return chunk_by_id(chunks, c, 12).select("chunk_id", "path", "content")
+
+
+@query("SELECT sha256(lang) AS content_hash, max(doc_id) AS chunk_id FROM documents WHERE source = 'src3' GROUP BY 1")
+def document_chunks_by_hash(spark, sf):
+    """Chunks of one document by content hash, the last one of equal ones: a collection stands for the document, languages for contents."""
+    c = corpus(spark, sf).where("collection = 'src3'").select(F.lit(1).alias("doc_id"), F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("chunk_index"), F.sha2("language", 256).alias("content_hash"), F.lit(0).alias("v"))
+    return chunks_by_hash(c, 1).select("content_hash", "chunk_id")
+
+
+@query(f"WITH {D} SELECT doc_id, path FROM d WHERE 'txt' IN ('txt', 'md') AND length(path) % 2 = 0")
+def file_type_filter(spark, sf):
+    kept = corpus(spark, sf).where(SearchFilter(file_types=("txt", "md")).predicate())
+    return kept.where(F.length("path") % 2 == 0).select("doc_id", "path")
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'fr' AND source = 'src2'")
+def tag_filter(spark, sf):
+    """Documents by a tag; the language is their tag."""
+    c = corpus(spark, sf).withColumn("tags", F.create_map(F.lit("lang"), F.col("language")))
+    return c.where(SearchFilter(tags={"lang": "fr"}, collection="src2").predicate()).select("doc_id")
 
 
 @query(f"WITH {D} SELECT collection, count(DISTINCT doc_id) AS docs, count(*) AS chunks, sum(length(text))::BIGINT AS chars FROM d WHERE collection <> '' GROUP BY collection")
@@ -82,7 +92,7 @@ def path_prefix_filter(spark, sf):
 @query(f"WITH {D} SELECT doc_id, path FROM d WHERE NOT starts_with(path, 'src0/')")
 def delete_prefix(spark, sf):
     """What is left after a directory is deleted."""
-    return corpus(spark, sf).where(~((F.col("path") == "src0") | F.col("path").startswith("src0/"))).select("doc_id", "path")
+    return corpus(spark, sf).where(~below(F.col("path"), "src0")).select("doc_id", "path")
 
 
 @query("SELECT collection, count(*) AS n FROM (SELECT source AS collection FROM documents WHERE source NOT IN ('src0', 'src5')) GROUP BY collection")
@@ -125,7 +135,23 @@ def document_upsert(spark, sf):
     """New rows replace those with their key."""
     old = table(spark, sf, "documents").select("doc_id", "source", "lang")
     new = old.where("doc_id % 5 = 0").withColumn("lang", F.lit("xx")).unionByName(old.where("doc_id % 7 = 0").withColumn("doc_id", F.col("doc_id") + 1000000000))
-    return old.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new)
+    return replace_rows(old, new)
+
+
+@query(f"WITH {D}, n AS (SELECT path || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '.new' END AS path, doc_id + 500000000 AS doc_id, 'xx' AS language FROM d WHERE doc_id % 2 = 0) SELECT path, coalesce(d.doc_id, n.doc_id) AS doc_id, coalesce(n.language, d.language) AS language FROM d FULL JOIN n USING (path)")
+def upsert_by_path(spark, sf):
+    """New documents with a known path keep that path's id."""
+    c = corpus(spark, sf).select("path", "doc_id", "language")
+    new = c.where("doc_id % 2 = 0").select(F.concat("path", F.when(F.col("doc_id") % 3 == 0, "").otherwise(".new")).alias("path"), (F.col("doc_id") + 500000000).alias("doc_id"), F.lit("xx").alias("language"))
+    return upsert(c, new)
+
+
+@query("SELECT doc_id, 0 AS part, text FROM documents WHERE doc_id % 4 <> 0 UNION ALL SELECT doc_id, unnest([1, 2]) AS part, 'new' AS text FROM documents WHERE doc_id % 4 = 0")
+def reindex_documents(spark, sf):
+    """Chunks after a quarter of the documents were indexed again, in two chunks each."""
+    old = table(spark, sf, "documents").select("doc_id", F.lit(0).alias("part"), "text")
+    new = old.where("doc_id % 4 = 0").select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("part"), F.lit("new").alias("text"))
+    return replace_rows(old, new)
 
 
 @query(f"WITH {D} SELECT doc_id, CASE WHEN starts_with(path, 'src1/') THEN 'archive/' || substr(path, 6) ELSE path END AS path FROM d")
@@ -139,91 +165,11 @@ def excerpts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.trim(F.substring("text", 1, 200)).alias("excerpt"), F.length("text").alias("n"))
 
 
-@query("SELECT doc_id FROM (SELECT doc_id, sum(least(length(text), 1200)) OVER (ORDER BY doc_id) AS used FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 50)) WHERE used <= 12000")
+@query(r"WITH r AS (SELECT doc_id, substr(trim(text, E' \t\n\r\f'), 1, 1200) AS snippet FROM documents ORDER BY doc_id LIMIT 50) SELECT doc_id, length(snippet) AS n FROM (SELECT *, sum(length(snippet) + 100) OVER (ORDER BY doc_id) AS used FROM r) WHERE used <= 12000")
 def output_budget(spark, sf):
-    """The first results whose snippets fit in 12000 characters together."""
+    """The first of 50 results whose snippets, with headers of 100 characters, fit in 12000 characters together."""
     top = table(spark, sf, "documents").orderBy("doc_id").limit(50)
-    used = F.sum(F.least(F.length("text"), F.lit(1200))).over(Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    return top.select("doc_id", used.alias("used")).where("used <= 12000").select("doc_id")
-
-
-# --- full text ---
-
-
-@query(f"WITH t AS (SELECT doc_id, unnest({TOK}) AS term FROM documents) SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM t GROUP BY term")
-def token_stats(spark, sf):
-    """Frequencies of every term."""
-    one = table(spark, sf, "documents").select("doc_id", F.explode(fts.tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
-    return one.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
-
-
-_T = f"WITH t AS (SELECT doc_id, {TOK} AS k FROM documents)"
-
-
-@query(f"{_T} SELECT doc_id FROM t WHERE list_contains(k, 'tion') AND list_contains(k, 'with')")
-def fts_and(spark, sf):
-    return _units(spark, sf, ["tion", "with"], 2)
-
-
-@query(f"{_T} SELECT doc_id FROM t WHERE list_contains(k, 'tion') OR list_contains(k, 'with')")
-def fts_or(spark, sf):
-    return _units(spark, sf, ["tion", "with"], 1)
-
-
-def _units(spark, sf, terms, least):
-    docs = table(spark, sf, "documents").select("doc_id", fts.tokens(F.col("text")).alias("k"))
-    hits = sum((F.array_contains("k", t).cast("int") for t in terms), F.lit(0))
-    return docs.where(hits >= least).select("doc_id")
-
-
-@query(f"{_T} SELECT doc_id, len([x FOR x IN k IF starts_with(x, 'thon')]) AS n FROM t WHERE len([x FOR x IN k IF starts_with(x, 'thon')]) > 0")
-def fts_prefix(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", fts.tokens(F.col("text")).alias("k"))
-    return docs.select("doc_id", fts.frequency(F.col("k"), "prefix", "thon").alias("n")).where("n > 0")
-
-
-@query(f"WITH t AS (SELECT doc_id, unnest({TOK}) AS term, generate_subscripts({TOK}, 1) AS pos FROM documents) SELECT a.doc_id, count(*) AS n FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY a.doc_id")
-def fts_phrase(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", fts.tokens(F.col("text")).alias("k"))
-    return docs.select("doc_id", fts.frequency(F.col("k"), "phrase", "of the").cast("long").alias("n")).where("n > 0")
-
-
-@query(f"WITH t AS (SELECT doc_id, unnest({TOK}) AS term, generate_subscripts({TOK}, 1) AS pos FROM documents) SELECT DISTINCT a.doc_id FROM t a JOIN t b ON a.doc_id = b.doc_id AND abs(a.pos - b.pos) <= 11 WHERE a.term = 'tion' AND b.term = 'with'")
-def fts_near(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", fts.tokens(F.col("text")).alias("k"))
-    return docs.where(fts.near(F.col("k"), ("tion", "with"), 10)).select("doc_id")
-
-
-def bm25_sql(units: list[tuple[str, str]]) -> str:
-    """CTEs m(doc_id, dl, tf0..) and b(doc_id, score, n_hit) of a query without phrases."""
-    tf = ", ".join(f"len([x FOR x IN k IF {'starts_with(x, ' + repr(t) + ')' if kind == 'prefix' else 'x = ' + repr(t)}]) AS tf{i}" for i, (kind, t) in enumerate(units))
-    n = ", ".join(f"count(*) FILTER (tf{i} > 0) AS n{i}" for i in range(len(units)))
-    score = " + ".join(f"(CASE WHEN ln((nd - n{i} + 0.5) / (n{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((nd - n{i} + 0.5) / (n{i} + 0.5)) END) * tf{i} * 2.2::DOUBLE / (tf{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))" for i in range(len(units)))
-    hit = " + ".join(f"(tf{i} > 0)::INT" for i in range(len(units)))
-    some = " OR ".join(f"tf{i} > 0" for i in range(len(units)))
-    return f"k AS (SELECT doc_id, {TOK} AS k FROM documents), m AS (SELECT doc_id, k, len(k) AS dl, {tf} FROM k), s AS (SELECT count(*)::DOUBLE AS nd, avg(dl::DOUBLE) AS avgdl, {n} FROM m), b AS (SELECT doc_id, k, round({score}, 10) AS score, {hit} AS n_hit FROM m, s WHERE {some})"
-
-
-TERMS = "ertion thinhe"
-UNITS = fts.compile_query(TERMS).units
-
-
-@query(f"WITH {bm25_sql(UNITS)} SELECT doc_id, score FROM b ORDER BY score DESC, doc_id LIMIT 20")
-def bm25_topk(spark, sf):
-    """The 20 best documents by BM25."""
-    return fts.scored(table(spark, sf, "documents"), fts.compile_query(TERMS)).orderBy(F.desc("score"), "doc_id").limit(20).select("doc_id", "score")
-
-
-_LEGS = """c AS (SELECT doc_id, score, n_hit, EXISTS (SELECT 1 FROM range(1, len(k) + 1) p(i), range(1, len(k) + 1) q(j) WHERE k[i] = 'ertion' AND k[j] = 'thinhe' AND abs(i - j) <= 11) AS is_near FROM b WHERE n_hit >= 2 UNION ALL SELECT doc_id, score, n_hit, false FROM b WHERE n_hit < 2),
-a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM c WHERE n_hit = 3 QUALIFY r <= 100), o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM c QUALIFY r <= 100), e AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM c WHERE is_near QUALIFY r <= 100),
-na AS (SELECT (SELECT count(*) FROM a) AS n_and, (SELECT count(*) FROM o) AS n_or),
-kw AS (SELECT doc_id, min(r)::INT AS kw_rank FROM (SELECT doc_id, r FROM a UNION ALL SELECT doc_id, r + n_and FROM o, na WHERE n_and < 100 UNION ALL SELECT doc_id, r + n_and + CASE WHEN n_and < 100 THEN n_or ELSE 0 END FROM e, na) GROUP BY doc_id)"""
-
-
-@query(f"WITH {bm25_sql(UNITS)}, {_LEGS} SELECT doc_id, kw_rank FROM kw")
-def keyword_ranks(spark, sf):
-    """Ranks over the AND, OR and NEAR legs."""
-    return fts.keyword_ranks(table(spark, sf, "documents"), fts.compile_query(TERMS), 100).select("doc_id", "kw_rank")
+    return within_budget(top, "doc_id", 100).select("doc_id", F.length("snippet").alias("n"))
 
 
 # --- vectors ---
@@ -308,26 +254,6 @@ def diverse_topk(spark, sf):
     return ranking.diverse(s, "label", "score", "doc_id", 15).select("doc_id", "label", "score")
 
 
-_POOL = f"""sc AS (SELECT doc_id, round(list_inner_product(v, q), 6) AS sim FROM v JOIN documents USING (doc_id), q),
-pool AS (SELECT doc_id, kw_rank, coalesce(sim, 0) AS sim FROM kw LEFT JOIN sc USING (doc_id) UNION ALL (SELECT doc_id, 0, sim FROM sc WHERE doc_id NOT IN (SELECT doc_id FROM kw) ORDER BY sim DESC, doc_id LIMIT 5)),
-rk AS (SELECT *, row_number() OVER (ORDER BY sim DESC, kw_rank, doc_id) AS vec_rank FROM pool),
-fl AS (SELECT max((kw_rank > 0)::INT) AS hk, max((kw_rank = 0 OR sim <> 0)::INT) AS hv FROM rk),
-fu AS (SELECT doc_id, path, collection, round((1.0::DOUBLE / (60 + vec_rank) + CASE WHEN kw_rank > 0 THEN 1.0::DOUBLE / (60 + kw_rank) ELSE 0 END + 0.3::DOUBLE * exp(-0.693::DOUBLE * greatest(age, 0) / 604800) / 61 + CASE WHEN contains(lower(path), 'ertion') OR contains(lower(path), 'thinhe') THEN 1.0::DOUBLE / 61 ELSE 0 END) / ((hk + hv + 1.3::DOUBLE) / 61), 6) AS score FROM rk JOIN d USING (doc_id), fl)"""
-
-
-@query(f"WITH {D}, {V}, {_Q}, {bm25_sql(UNITS)}, {_LEGS}, {_POOL}, dv AS (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY score DESC, doc_id) AS nth FROM fu) SELECT doc_id, path, score FROM dv ORDER BY (nth > 1), score DESC, doc_id LIMIT 5")
-def hybrid_search(spark, sf):
-    """Keyword and vector search, fused, boosted, normalised and made diverse."""
-    return hybrid(corpus(spark, sf), vectors(spark, sf), TERMS, _query_vector(spark, sf), 5)
-
-
-@query(f"WITH {D}, {bm25_sql(UNITS)} SELECT collection, count(*) AS hits, max(score) AS best FROM b JOIN d USING (doc_id) GROUP BY collection")
-def summarize_matches(spark, sf):
-    """Matches by collection."""
-    found = fts.scored(table(spark, sf, "documents"), fts.compile_query(TERMS))
-    return found.join(corpus(spark, sf).select("doc_id", "collection"), "doc_id").groupBy("collection").agg(F.count("*").alias("hits"), F.max("score").alias("best"))
-
-
 @query("WITH s AS (SELECT event_type || '/' || user_id AS path, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1 HAVING count(*) >= 2) SELECT path, round(n / max(n) OVER (), 6) AS boost FROM s")
 def feedback_boosts(spark, sf):
     """Paths that were selected twice or more, against the most selected one."""
@@ -355,6 +281,12 @@ def latest_event_per_key(spark, sf):
     return live.latest(table(spark, sf, "events"), "user_id", "ts", "event_id").select("user_id", "event_id")
 
 
+@query("WITH g AS (SELECT user_id, ts, event_id, event_type, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, min(ts) AS began, arg_max(event_type, (ts, event_id)) AS op, count(*) AS n FROM s GROUP BY user_id, s")
+def debounce_events(spark, sf):
+    """Each run of a user's events within an hour, with its last operation."""
+    return live.debounce(table(spark, sf, "events"), "user_id", "ts", "event_type", "1 hour", tie="event_id")
+
+
 @query("WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g), c AS (SELECT user_id, s, count(*) AS n FROM s GROUP BY ALL) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY user_id")
 def debounce_sessions(spark, sf):
     """Events of a user that follow within an hour are one."""
@@ -365,50 +297,3 @@ def debounce_sessions(spark, sf):
 @query("SELECT user_id, count(*) AS attempts, CASE WHEN count(*) <= 3 THEN 2 * count(*) END AS delay_s, CASE WHEN count(*) <= 3 THEN 'retry' ELSE 'quarantine' END AS state FROM events WHERE value < 10 GROUP BY user_id")
 def retry_quarantine(spark, sf):
     return live.retry_state(table(spark, sf, "events").where("value < 10"), "user_id")
-
-
-# --- queries as data ---
-
-_W = r"w AS (SELECT conv_id, turn, string_split_regex(trim(text, E' \t\n\r'), '[ \t\n\r]+') AS w FROM conversations WHERE text IS NOT NULL), c AS (SELECT conv_id, turn, len(w) AS n, len([x FOR x IN w IF regexp_matches(x, '[a-z][A-Z]') OR (contains(x, '_') AND x <> '_') OR contains(x, '.')]) AS ids FROM w)"
-
-
-@query(f"WITH {_W} SELECT conv_id, turn, CASE WHEN n <= 2 AND ids = n THEN 1.5 WHEN n = 1 THEN 1.2 WHEN ids > n // 2 THEN 1.3 WHEN n >= 4 THEN 0.7 ELSE 1.0 END::DOUBLE AS kw, CASE WHEN n <= 2 AND ids = n THEN 0.6 WHEN n = 1 THEN 0.9 WHEN ids > n // 2 THEN 0.8 WHEN n >= 4 THEN 1.4 ELSE 1.0 END::DOUBLE AS vec FROM c")
-def query_weights(spark, sf):
-    """Adaptive weights of every conversation turn, as if it were a query."""
-    words = F.split(F.regexp_replace("text", r"^[ \t\n\r]+|[ \t\n\r]+$", ""), r"[ \t\n\r]+")
-    c = table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", words.alias("w"))
-    is_id = lambda x: x.rlike("[a-z][A-Z]") | (x.contains("_") & (x != "_")) | x.contains(".")
-    n, ids = F.size("w"), F.size(F.filter("w", is_id))
-
-    def pick(*values: float):
-        return F.when((n <= 2) & (ids == n), values[0]).when(n == 1, values[1]).when(ids > F.floor(n / 2), values[2]).when(n >= 4, values[3]).otherwise(1.0)
-
-    return c.select("conv_id", "turn", pick(1.5, 1.2, 1.3, 0.7).alias("kw"), pick(0.6, 0.9, 0.8, 1.4).alias("vec"))
-
-
-@query("SELECT least(quality, toxic) AS worst, count(*) AS n FROM labels GROUP BY 1")
-def worst_status(spark, sf):
-    """The worse of two states, counted."""
-    return table(spark, sf, "labels").groupBy(F.least("quality", "toxic").alias("worst")).agg(F.count("*").alias("n"))
-
-
-# --- texts (checked against Python in tests) ---
-
-
-@query()
-def chunk_documents(spark, sf):
-    """Chunks of 128 words with an overlap of 15 % of every document."""
-    docs = table(spark, sf, "documents").select("doc_id", F.explode(Splitter(128).column(F.col("text"))).alias("c"))
-    return docs.select("doc_id", "c.chunk_index", "c.heading", "c.content")
-
-
-@query()
-def sentence_split(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.posexplode(sentence_array("text")).alias("position", "sentence"))
-    return docs
-
-
-@query()
-def html_extract(spark, sf):
-    """Text of every page by the reader of files."""
-    return table(spark, sf, "pages").select("page_id", html_column("html").alias("text"))

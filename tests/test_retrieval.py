@@ -2,12 +2,9 @@ import io
 import json
 import zipfile
 
-from pyspark.sql import functions as F
-
 from tessera.functions.chunking import Splitter, sentences
 from tessera.functions.extract import extract, html_text, looks_binary
 from tessera.operators import fts, ranking
-from tessera.operators.search import hybrid_search
 from tessera.sources.patterns import glob_regex
 from tessera.streaming import live
 
@@ -20,30 +17,13 @@ def test_queries_and_oracles_register():
 
 def test_compile_query():
     q = fts.compile_query("hello world")
-    assert q.units == [("term", "hello"), ("term", "world"), ("prefix", "world")] and q.near
-    assert fts.compile_query('"exact match" other').phrases == ("exact match",)
-    assert fts.compile_query("hello hello").terms == ("hello",)
+    assert q.parts == ("hello", "world", "world*") and q.near == "NEAR(hello world, 10)"
+    assert fts.compile_query('"exact match" other').parts == ('"exact match"', "other", "other*")
+    assert fts.compile_query("hello hello").bare == ("hello",)
     assert fts.split_identifier("getUserName") == ["get", "user", "name"]
     assert fts.compile_query("").units == []
 
 
-def test_phrase_prefix_and_near(spark):
-    d = spark.createDataFrame([(1, "of the of the x"), (2, "the of"), (3, "of a the"), (4, None), (5, "")], "doc_id long, text string")
-    k = d.select("doc_id", fts.tokens(F.col("text")).alias("k"))
-    got = {r["doc_id"]: r["n"] for r in k.select("doc_id", fts.frequency(F.col("k"), "phrase", "of the").alias("n")).collect()}
-    assert got[1] == 2 and got[2] == got[3] == 0
-    close = {r[0] for r in k.where(fts.near(F.col("k"), ("of", "the"), 0)).select("doc_id").collect()}
-    assert close == {1, 2}
-
-
-def test_and_match_comes_first(spark):
-    d = spark.createDataFrame([(1, "a/x.txt", "c", "en", "txt", "alpha beta", 0), (2, "a/y.txt", "c", "en", "txt", "alpha", 0)], "doc_id long, path string, collection string, language string, file_type string, text string, age long")
-    v = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0])], "doc_id long, v array<double>")
-    q = spark.createDataFrame([([1.0, 0.0],)], "q array<double>")
-    got = hybrid_search(d, v, "alpha beta", q, 2).collect()
-    assert len(got) == 2 and got[0]["doc_id"] == 1
-
-
 def test_weights():
     assert ranking.weights("getUser") == (1.5, 0.6)
     assert ranking.weights("word") == (1.2, 0.9)
