@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .ann import nearest_neighbours
 from .decontaminate import contamination
 from .html import extract_pages
-from .jaccard import jaccard_join
+from .jaccard import jaccard_classes
 from .langid import identify_language
 from .lm_score import score_documents
 from .packing import pack
@@ -19,8 +19,8 @@ from .warc import reassemble, to_records
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of documents whose word 3-grams have a Jaccard similarity of at least 0.5."""
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    """Class and number of links of every document, by Jaccard similarities of word 3-grams of at least 0.5."""
+    return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
