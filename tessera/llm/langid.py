@@ -2,8 +2,8 @@
 
 For each language of the `lang` column a model of character 5-grams is trained on a bounded sample of its
 documents (`max_train`, those with the least hash of their doc_id). The models are stored in sorted
-arrays of n-gram hashes, one array for each order, with a column of log probabilities for each language (what
-a language lacks is its backed-off value): one binary search finds an n-gram in all languages.
+arrays of n-gram hashes, one array for each order, each with the list of the languages that have the n-gram and their
+log probabilities: one binary search finds an n-gram in all languages, and a language that lacks it backs off.
 
 A text gets the language with the lowest cross-entropy, in nats a character over the whole text. It is
 rejected where that is above what the language's own texts of that length reach: the limit is the mean
@@ -13,10 +13,11 @@ documents is calibrated by cross-validation on its training documents (in fit, t
 gives fewer than `LEAST` values, the mean is its own and the variance the largest of the other languages. With fewer
 than two documents, or without another language to take the variance from, nothing is accepted as that language.
 
-Only letters count, in lower case; each run of other characters is one space. Characters from U+0800 on
+Only letters and their marks count, in lower case; each run of other characters is one space. Characters from U+0800 on
 are hashed into 11 bits.
 
-Scale: two passes without a shuffle of text; the sample and the models are bounded by the parameters.
+Scale: two passes without a shuffle of text; the sample and the models are bounded by the parameters: of the values of
+`lang`, the `max_languages` with most documents are languages.
 
 Defined cases: a text that is null, empty or without a letter has a null language and cross-entropy and is not
 accepted; ties go to the first language by name; with no labelled language every text is rejected; each
@@ -26,6 +27,7 @@ row is judged by its own text; other columns are ignored.
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +42,8 @@ from .runtime import map_arrow, text_slices
 N, BITS = 5, 12
 #: Texts that are enough to calibrate a language.
 LEAST = 8
-_IS_LETTER = np.fromiter((chr(c).isalpha() for c in range(1 << 16)), bool, 1 << 16)
+#: Letters, and the marks that belong to them: vowel signs are part of a word.
+_IS_LETTER = np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(1 << 16)), bool, 1 << 16)
 
 
 def letters(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -70,52 +73,49 @@ def letters(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return key, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
+class _Sparse:
+    """Sorted keys of several languages, and for each key the languages that have it with a value."""
+
+    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        keys = np.concatenate([k for k, _ in tables])
+        language = np.repeat(np.arange(len(tables)), [len(k) for k, _ in tables])
+        order = np.lexsort((language, keys))
+        keys, self.language, self.value = keys[order], language[order].astype(np.int32), np.concatenate([v for _, v in tables])[order]
+        head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+        self.keys, self.begin = keys[head], np.append(head, len(keys))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index in keys, language, value) of all languages that have each key."""
+        at = lookup(self.keys, keys)
+        hit = np.flatnonzero(at >= 0)
+        begin = self.begin[at[hit]]
+        size = self.begin[at[hit] + 1] - begin
+        entry = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return np.repeat(hit, size), self.language[entry], self.value[entry]
+
+
 class Models:
     """The models of all languages in shared sorted arrays."""
 
     def __init__(self, texts: dict[str, list[str]]) -> None:
         self.languages = sorted(texts)
-        models = []
         self.size = 1 << BITS
-        for language in self.languages:
-            key, _ = letters(texts[language])
-            models.append(estimate(*np.unique(key, return_counts=True), N, BITS, self.size))
-        self.keys, self.logp, self.contexts, self.backoff = [], [], [], []
-        for k in range(N if models else 0):
-            keys = np.unique(np.concatenate([m[k].keys for m in models]))
-            contexts = np.unique(np.concatenate([m[k].contexts for m in models]))
-            backoff = np.zeros((len(contexts), len(models)))
-            for j, m in enumerate(models):
-                backoff[lookup(contexts, m[k].contexts), j] = m[k].backoff
-            if k == 0:
-                logp = backoff[[0] * len(keys)] - math.log(self.size)
-            else:
-                logp = backoff[lookup(contexts, keys >> BITS)] + self.logp[-1][lookup(self.keys[-1], keys & ((1 << BITS * k) - 1))]
-            for j, m in enumerate(models):
-                logp[lookup(keys, m[k].keys), j] = m[k].logp
-            self.keys.append(keys)
-            self.logp.append(logp)
-            self.contexts.append(contexts)
-            self.backoff.append(backoff)
+        models = [estimate(*np.unique(letters(texts[language])[0], return_counts=True), N, BITS, self.size) for language in self.languages]
+        self.keys = [_Sparse([(m[k].keys, m[k].logp) for m in models]) for k in range(N if models else 0)]
+        self.contexts = [_Sparse([(m[k].contexts, m[k].backoff) for m in models]) for k in range(N if models else 0)]
         self.limits = np.tile([-math.inf, 0.0, 0.0], (len(models), 1))  # mean, a, b of each language, z included
         self.trained = texts
 
     def log_probabilities(self, key: np.ndarray) -> np.ndarray:
-        """log P(last symbol | the four before) for every key and language."""
-        out = np.zeros((len(key), len(self.languages)))
-        left = np.arange(len(key))
-        for k in range(N - 1, -1, -1):
-            key_k = key[left] & ((1 << BITS * (k + 1)) - 1)
-            at = lookup(self.keys[k], key_k)
-            hit = at >= 0
-            out[left[hit]] += self.logp[k][at[hit]]
-            left = left[~hit]
-            if not len(left):
-                return out
-            context = lookup(self.contexts[k], key_k[~hit] >> BITS)
-            known = context >= 0
-            out[left[known]] += self.backoff[k][context[known]]
-        out[left] -= math.log(self.size)
+        """log P(last symbol | the four before) for every key and language: from the lowest order up, what an order knows
+        replaces the backed-off value of the order below."""
+        out = np.full((len(key), len(self.languages)), -math.log(self.size))
+        for k in range(N):
+            key_k = key & ((1 << BITS * (k + 1)) - 1)
+            at, language, value = self.contexts[k].find(key_k >> BITS)
+            out[at, language] += value
+            at, language, value = self.keys[k].find(key_k)
+            out[at, language] = value
         return out
 
     def cross_entropy(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +126,9 @@ class Models:
         some = np.flatnonzero(n)
         # a text of nothing but spaces has no letter
         if len(some):
-            total = np.add.reduceat(self.log_probabilities(key), offsets[some], axis=0)
+            distinct, place = np.unique(key, return_inverse=True)
+            known = self.log_probabilities(distinct)
+            total = np.stack([np.add.reduceat(known[:, j][place], offsets[some]) for j in range(len(self.languages))], 1)
             real = np.add.reduceat(((key & ((1 << BITS) - 1)) != 32).astype(np.int64), offsets[some])
             out[some] = np.where(real[:, None] > 0, -total / n[some][:, None], np.nan)
             n[some] = np.where(real > 0, n[some], 0)
@@ -185,10 +187,10 @@ def _cross_validated(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(h), np.concatenate(n)
 
 
-def fit(docs: DataFrame, max_train: int = 400, max_held_out: int = 400, reject_rate: float = 0.001) -> Models:
+def fit(docs: DataFrame, max_train: int = 400, max_held_out: int = 400, reject_rate: float = 0.001, max_languages: int = 256) -> Models:
     """Models from labelled documents: of each language those with the least hashes train, the next are held out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
     most = max_train + max_held_out
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
     # the least hashes lie below this with near certainty; the window sees little more than the sample
