@@ -12,11 +12,12 @@ rows however many documents there are:
 
 Every run of equal pieces is planned at once: a plan row says which ranks of a length go to which bins,
 how many to a bin and at which offset. Each piece finds its row by its rank among the pieces of
-its length, ordered by hash bucket, doc_id and part.
+its length, ordered by hash bucket, doc_id and part (rows with the same doc_id and part are alike).
 
-Scale: one shuffle of (length, doc_id, part), by length and one of `BUCKETS` ranges of the hash of doc_id, so that a
-frequent length (that of full pieces) is ranked in many tasks, and the histogram, of at most
-capacity * BUCKETS rows. What is sent has rows in the order of those, not of documents.
+Scale: one shuffle of (length, doc_id, part), by length and hash bucket of (doc_id, part): a length has a bucket for every
+`rank_rows` pieces, so that a frequent length (that of full pieces) is ranked in as many tasks as it needs. The
+pieces in earlier buckets of a length are counted and joined in Spark; what comes to the driver is the histogram, of at most
+`capacity` rows, and what is sent is the plan, of a few rows for each length.
 
 Length is the number of words between white space, or any integer column. Defined cases: null and
 empty texts, and lengths under 1, are in no bin; rows that share a doc_id are packed each, a null
@@ -30,14 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .runtime import cut, map_arrow
 
-BUCKETS = 64
-
 #: length, first rank, end rank, first bin, pieces in a bin, offset of the first piece in its bin
 Plan = list[tuple[int, int, int, int, int, int]]
 
@@ -135,7 +133,7 @@ def word_count(text: Column) -> Column:
     return F.when(text.isNotNull(), F.regexp_count(text, F.lit(r"\S+")))
 
 
-def pack(docs: DataFrame, capacity: int = 2048, length: Column | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, length: Column | None = None, rank_rows: int = 100_000) -> DataFrame:
     """(doc_id, part, n_words, bin_id, bin_offset): where each piece of each document goes.
 
     part counts the pieces of a document from 0; pieces of one bin don't overlap and end
@@ -144,26 +142,26 @@ def pack(docs: DataFrame, capacity: int = 2048, length: Column | None = None) ->
     n = word_count(F.col("text").cast("string")) if length is None else length
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.cast("long").alias("n")).where("n > 0")
     pieces = cut(sized.select("doc_id", "n", F.posexplode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / capacity).cast("long"))).alias("part", "k")).select("doc_id", F.col("part").cast("long").alias("part"), F.least(F.lit(capacity), F.col("n") - F.col("k") * capacity).cast("int").alias("n_words")))
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
-    pieces = pieces.withColumn("bucket", bucket)
-    sizes = np.zeros((capacity + 1, BUCKETS), np.int64)
-    for r in pieces.groupBy("n_words", "bucket").agg(F.count("*").alias("c")).toLocalIterator():
-        sizes[r["n_words"], r["bucket"]] = r["c"]
-    before = np.cumsum(sizes, axis=1) - sizes
-    rows, _ = plan({n: int(c) for n, c in enumerate(sizes.sum(axis=1)) if c}, capacity)
+    histogram = {r["n_words"]: r["c"] for r in pieces.groupBy("n_words").agg(F.count("*").alias("c")).collect()}
+    rows, _ = plan(histogram, capacity)
+    # a foldable array: the buckets of each length
+    of_length = F.expr("array(" + ", ".join(str(max(1, -(-histogram.get(k, 0) // rank_rows))) for k in range(capacity + 1)) + ")")
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "part"), F.get(of_length, F.col("n_words"))).cast("int"))
+    earlier = Window.partitionBy("n_words").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = pieces.groupBy("n_words", "bucket").agg(F.count("*").alias("c")).select("n_words", "bucket", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("before"))
     step = 1 << 40
     table = np.array(rows, np.int64).reshape(-1, 6)
-    sent = docs.sparkSession.sparkContext.broadcast((table[:, 0] * step + table[:, 1], table, before))
+    sent = docs.sparkSession.sparkContext.broadcast((table[:, 0] * step + table[:, 1], table))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, rows, before = sent.value
+        starts, rows = sent.value
         for batch in batches:
             size = batch.column("n_words").to_numpy().astype(np.int64)
-            rank = batch.column("rank").to_numpy().astype(np.int64) - 1 + before[size, batch.column("bucket").to_numpy()]
+            rank = batch.column("rank").to_numpy().astype(np.int64) - 1 + batch.column("before").to_numpy()
             at = np.searchsorted(starts, size * step + rank, side="right") - 1
             row = rows[at] if len(rows) else np.zeros((0, 6), np.int64)
             nth = rank - row[:, 1]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), batch.column("n_words"), pa.array(row[:, 3] + nth // row[:, 4]), pa.array((row[:, 5] + nth % row[:, 4] * size).astype(np.int32))], names=["doc_id", "part", "n_words", "bin_id", "bin_offset"])
 
     ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("n_words", "bucket").orderBy("doc_id", "part")).cast("long"))
-    return map_arrow(ranked, place, "doc_id long, part long, n_words int, bin_id long, bin_offset int")
+    return map_arrow(ranked.join(before, ["n_words", "bucket"]), place, "doc_id long, part long, n_words int, bin_id long, bin_offset int")
