@@ -89,7 +89,8 @@ class Index:
         self.dense[self.place[terms[dense]], rows[dense]] = weights[dense]
         self.top = self.dense.reshape(-1, self.blocks, BLOCK).max(axis=2, initial=0)
         rows, terms, weights = rows[~dense], terms[~dense], weights[~dense]
-        order = np.lexsort((rows, terms))
+        del dense
+        order = np.argsort(terms, kind="stable")  # rows are in order
         self.row, self.weight = rows[order].astype(np.int64), weights[order]
         self.begin = np.concatenate([[0], np.cumsum(np.where(often, 0, df))])
 
@@ -140,8 +141,9 @@ class Model:
         lead = np.full(len(ids), -1)
         by_weight = np.flatnonzero(often)[np.argsort(weight[often], kind="stable")]
         lead[row[by_weight]] = term[by_weight]
+        del by_weight, often
         order = np.lexsort((ids, lead))
-        back = np.argsort(order)
+        back = np.argsort(order).astype(np.int32)
         self.ids, self.toxic = ids[order], toxic[order].astype(float)
         by_row = np.argsort(back[row], kind="stable")
         row, term, weight = back[row][by_row], term[by_row], weight[by_row]
@@ -153,7 +155,7 @@ class Model:
             self.slope, self.shift = _logistic(raw, self.toxic, share * len(self.toxic))
 
     def weigh(self, owner: np.ndarray, term: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
-        weight = (1 + np.log(times)) * self.idf[term]
+        weight = (1 + np.log(times, dtype=np.float32)) * self.idf[term]
         norm = np.sqrt(np.bincount(owner, weight * weight, n))
         return weight / np.where(norm > 0, norm, 1)[owner]
 
@@ -233,9 +235,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 2000, k: int = 1
     got = map_arrow(sample, vectors, "doc_id long, toxic int, features array<long>, times array<int>").toArrow().combine_chunks()
     ids, toxic = got.column("doc_id").to_numpy(), got.column("toxic").to_numpy()
     sizes = np.array([len(x) for x in got.column("times")], np.int64)
-    row = np.repeat(np.arange(len(ids)), sizes)
+    row = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
     value, times = (np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy() for c in got.column(name).chunks)]) for name in ("features", "times"))
     vocabulary, term = np.unique(value.view(_U), return_inverse=True)
+    term = term.astype(np.int32)
     lean = _label_weight(np.bincount(term, toxic[row], len(vocabulary)), np.bincount(term, minlength=len(vocabulary)), float(toxic.sum()), float(len(toxic)), min_lift)
     del got, value
     _release()
