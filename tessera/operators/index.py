@@ -101,6 +101,10 @@ class Index:
         spark.createDataFrame([(n_docs, total)], "n_docs long, n_tokens long").write.mode("overwrite").parquet(f"{folder}/statistics")
         return Index(folder, n_docs, total / n_docs if n_docs else 0.0)
 
+    def stale(self, modified: int, share: float = 0.2) -> bool:
+        """Whether so many documents have changed that the index is better built anew than synchronised."""
+        return self.n_docs > 0 and modified / self.n_docs > share
+
     def diagnostics(self, spark: SparkSession) -> DataFrame:
         """One row: documents indexed, those with a posting, postings, and whether the two agree with the statistics."""
         p = self.postings(spark).agg(F.countDistinct("doc_id").alias("with_terms"), F.count("*").alias("postings"), F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -92,6 +92,16 @@ def projection_matrix(rows: int, columns: int, seed: int = 7) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((rows, columns)) * (2.0 / columns) ** 0.5
 
 
+def save_projection(spark: SparkSession, folder: str, matrix: np.ndarray) -> None:
+    """A matrix as one row of Parquet."""
+    spark.createDataFrame([(matrix.shape[0], matrix.shape[1], matrix.ravel().tolist())], "n_rows int, n_columns int, entries array<double>").write.mode("overwrite").parquet(folder)
+
+
+def load_projection(spark: SparkSession, folder: str) -> np.ndarray:
+    row = spark.read.parquet(folder).first()
+    return np.array(row["entries"]).reshape(row["n_rows"], row["n_columns"])
+
+
 def project(v: Column, matrix: np.ndarray) -> Column:
     """Unit vectors after a random projection to as many dimensions as the matrix has rows, as int8 codes; null for another dimension than the matrix's."""
 
@@ -120,6 +130,15 @@ def capped_brute_force(vectors: DataFrame, query: DataFrame, k: int, cap: int =
     return top_by_dot(vectors, query, k, id_column)
 
 
+def boundaries(chunks: DataFrame, key: str, order: str, length: Column, threshold: float) -> DataFrame:
+    """(order, key, sim, position) where a chunk is unlike the one before it in its document; position counts the characters before it,
+    one more for each chunk."""
+    w = Window.partitionBy(key).orderBy(order)
+    at = F.coalesce(F.sum(length + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = chunks.withColumn("_before", F.lag("v").over(w)).withColumn("position", at).where("_before is not null")
+    return rows.select(order, key, F.round(dot(F.col("v"), F.col("_before")), 6).alias("sim"), "position").where(F.col("sim") < threshold)
+
+
 def max_sim(query: DataFrame, tokens: DataFrame, key: str, position: str | None = None, most: int = 128) -> DataFrame:
     """(key, score): the mean over query vectors (qid, q) of the best product with a document's vectors, at least 0."""
     kept = tokens

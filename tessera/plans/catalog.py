@@ -226,12 +226,10 @@ def maxsim_topk(spark, sf):
     return vector.max_sim(q, v, "label").orderBy(F.desc("score"), "label").limit(5)
 
 
-@query(f"WITH {V}, s AS (SELECT doc_id, label, round(list_inner_product(v, lag(v) OVER (PARTITION BY label ORDER BY doc_id)), 6) AS sim FROM v) SELECT doc_id, label, sim FROM s WHERE sim < 0.1")
+@query(f"WITH {V}, s AS (SELECT doc_id, label, round(list_inner_product(v, lag(v) OVER w), 6) AS sim, coalesce(sum(doc_id % 50 + 1) OVER (PARTITION BY label ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS position FROM v WINDOW w AS (PARTITION BY label ORDER BY doc_id)) SELECT doc_id, label, sim, position FROM s WHERE sim < 0.1")
 def semantic_boundaries(spark, sf):
-    """Where neighbouring chunks of a document are unlike."""
-    before = F.lag("v").over(Window.partitionBy("label").orderBy("doc_id"))
-    s = vectors(spark, sf).withColumn("b", before).where("b is not null")
-    return s.select("doc_id", "label", F.round(vector.dot(F.col("v"), F.col("b")), 6).alias("sim")).where("sim < 0.1")
+    """Where neighbouring chunks of a document are unlike, and at which character."""
+    return vector.boundaries(vectors(spark, sf), "label", "doc_id", F.col("doc_id") % 50, 0.1)
 
 
 # --- ranking ---
