@@ -51,7 +51,11 @@ def postings(docs: DataFrame) -> DataFrame:
                 at = owner[head] if len(term) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), pa.array(names[term[head]] if len(term) else [], pa.string()), pa.array(np.diff(np.append(head, len(term))).astype(np.int32)), pa.array(sizes[at].astype(np.int32)), lists if len(term) else pa.array([], pa.list_(pa.int32()))], names=["doc_id", "term", "tf", "dl", "positions"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw_tokens(F.col("text").cast("string")).alias("tokens"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    least = docs.sparkSession.sparkContext.defaultParallelism
+    if texts.rdd.getNumPartitions() < least:  # a table of fewer splits than cores: it is small, and its texts may move
+        texts = texts.repartition(least)
+    rows = texts.select("doc_id", raw_tokens(F.col("text")).alias("tokens"))
     return rows.mapInArrow(run, POSTINGS)
 
 
