@@ -314,3 +314,47 @@ def test_examples_are_bounded_by_rows(spark):
     docs = make(spark, [(i % 2, prose(rng, 20) + (" vile" if i % 2 else "")) for i in range(200)])
     labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int")
     assert len(toxicity.fit(docs, labels, max_examples=5).ids) == 2
+
+
+def test_pairs_of_a_large_bucket_are_verified_batch_by_batch(spark):
+    """No task holds a bucket's pairs: they come in more than one batch and block, and all are found with their similarities."""
+    rng = random.Random(13)
+    base = prose(rng, 60, 10_000).split()
+    texts = [" ".join([*base[: 30 + rng.randrange(30)], f"end{i}"]) for i in range(70)] + ["a lone text", "two words"]
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(max(1, len(t.split()) - 2))} for t in texts]
+    docs = make(spark, list(enumerate(texts)))
+    signed = jaccard.signatures(docs, 3, 2).selectExpr("set_key", "doc_id as one", "grams")
+    key = {r["one"]: r["set_key"] for r in signed.collect()}
+    by = {v: k for k, v in key.items()}
+    rows = [(min(key[i], key[j]), max(key[i], key[j]), 5, 1, 0, 0) for i in range(70) for j in range(i)] + [(*sorted((key[70], key[71])), 6, 1, 0, 0)]
+    pairs = spark.createDataFrame(rows, "a long, b long, bucket long, heads int, once int, twice int")
+    want = {frozenset((i, j)): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(70) for j in range(i)}
+    most = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        for blocks in ({}, {"block_grams": 600}, {"block_pairs": 100}):
+            got = jaccard._verify(pairs, signed, docs, 3, 0.5, **blocks).collect()
+            found = {frozenset((by[r["a"]], by[r["b"]])): r["jaccard"] for r in got}
+            assert len(found) == len(got) and found == pytest.approx({k: v for k, v in want.items() if v >= 0.5})
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    ends = jaccard._blocked(pairs, pairs.selectExpr("bucket", "explode(array(a, b)) as set_key", "20 as grams").distinct(), 600, 10**6)[0]
+    assert ends.count() == len(rows) and ends.groupBy("bucket").count().agg({"count": "max"}).first()[0] < 70 * 69 // 4
+
+
+@pytest.mark.parametrize("brute_force", [40, 10_000])
+def test_a_bucket_gives_a_pair_once(brute_force):
+    """A pair that shares the tokens of several branches came once for each leaf."""
+    rng = np.random.default_rng(14)
+    tokens = np.tile(rng.integers(0, 65536, jaccard.TOKENS), (150, 1)).astype(np.uint16)
+    other = rng.random(tokens.shape) < 0.1
+    tokens[other] = rng.integers(0, 65536, other.sum())
+    found = [frozenset(p) for i, j in jaccard._bucket_pairs(tokens, 1, 4, brute_force, 0.3, 1, 2) for p in zip(i.tolist(), j.tolist())]
+
+    def together(rows, level):
+        if len(rows) <= brute_force or level == 4:
+            return {frozenset((i, j)) for i in rows for j in rows if i < j and (tokens[i] == tokens[j]).mean() >= 0.3}
+        parts = [[i for i in rows if tokens[i, c] == v] for c in (jaccard._column(1, level, b) for b in (0, 1)) for v in set(tokens[rows, c].tolist())]
+        return set().union(*(together(x, level + 1) for x in parts if len(x) > 1))
+
+    assert len(found) == len(set(found)) and set(found) == together(list(range(150)), 1)
