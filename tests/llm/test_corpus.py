@@ -291,6 +291,51 @@ def test_scores_equal_the_traversal_whatever_is_held_at_once(spark):
     assert max(want[i] / sizes[i] for i in range(3, 20)) < min(want[i] / sizes[i] for i in range(3))
 
 
+def test_traversal_follows_failure_arcs_whatever_is_held_at_once(spark):
+    """Texts that the model doesn't count leave its states by failure arcs: the scores are those of the automaton in memory."""
+    rng = random.Random(16)
+    write = lambda n, kinds: " ".join(f"w{min(rng.randrange(kinds), rng.randrange(kinds))}" for _ in range(n))
+    counted = [write(rng.randrange(900), 30) for _ in range(25)] + ["", None, "one", "alone once", "hot " * 600]
+    other = [write(n, 45) for n in (1, 2, 3, 255, 256, 257, 258, 259, 513, 1400)] + ["", None, "...", "zzz", "w1 zzz w2", "one one one", "alone once w1", "hot w0 " * 300]
+    model = lm_score.Automaton(counted)
+    followed = sum(w not in model.arcs.get((a, b), ()) for seq in model._words(other) for a, b, w in zip(seq, seq[1:], seq[2:]))
+    assert followed > 500
+    sizes, want = model.score(other)
+    for block, parts in ((200, 4), (8_000_000, 0), (3000, 64)):
+        rows = lm_score.score_documents(make(spark, list(enumerate(other))), block_bytes=block, parts=parts, model=make(spark, list(enumerate(counted)))).collect()
+        got = {r["doc_id"]: r for r in rows}
+        assert len(rows) == len(other) and [got[i]["n_words"] for i in range(len(other))] == sizes.tolist()
+        assert np.allclose([got[i]["log_prob"] for i in range(len(other))], want, atol=1e-3)
+    empty = lm_score.score_documents(make(spark, [(1, "w1 w2"), (2, None)]), model=make(spark, [(1, "")])).collect()
+    assert {r["doc_id"]: (r["n_words"], r["log_prob"], r["bits_per_word"]) for r in empty} == {1: (2, 0.0, 0.0), 2: (0, 0.0, None)}
+
+
+def test_states_arcs_and_failure_arcs_of_a_block_are_those_of_the_automaton():
+    """What a block builds of the automaton, arc by arc, with its failure arcs and their weights; no other block adds anything."""
+    rng = random.Random(17)
+    texts = [" ".join(f"w{rng.randrange(12)}" for _ in range(rng.randrange(60))) for _ in range(30)] + ["last words", "w1", None]
+    model = lm_score.Automaton(texts)
+    b = lm_score.Block.of(texts)
+    n, v, names = len(b.keys), len(b.vocabulary), b.vocabulary.tolist()
+    none, occurs = lm_score.squeeze(np.zeros(n, np.int64)), b.counts()[0]
+    place = {"part": -1, "role": lm_score.BOTH, "ids": list(range(len(texts))), "check": b.check(), "words": lm_score._steps(b.vocabulary[1:]), "n_words": v - 1, "data": lm_score.squeeze(b.sequence), "sizes": b.sizes.tolist()}
+    answer = {"part": 0, "check": b.check(), "n": n, "n_words": v, "data": lm_score._steps(np.arange(n)), "counts": none, "ends": none, "owned": np.packbits(occurs > 0).tobytes(), "symbols": lm_score.squeeze(np.arange(v)), "total": len(b.sequence), "kinds": v - 1}
+    own = [model.arcs.get((names[w],), {}) for w in b.order[b.order < v]]
+    times = {w: b.sequence.tolist().count(i) for i, w in enumerate(names)}
+    no, words_of = lm_score.squeeze(np.zeros(0, np.int64)), lambda x: lm_score.squeeze(np.array(x))
+    sums = {"part": 0, "n": 0, "n_states": 0, "n_words": v, "data": no, "arcs": no, "lower": no, "word_arcs": words_of([len(a) for a in own]), "word_lower": words_of([sum(times[w] for w in a) for a in own])}
+    part = lm_score.Reached(lm_score.Answered([answer, place]), [sums], 0.75)
+    states = [(names[x // v], names[x % v]) for x in b.pairs.tolist()] + [(w,) for w in names] + [()]
+    assert len(part.arcs) == sum(map(len, model.arcs.values()))
+    for code, weight, target in zip(part.arcs.tolist(), part.weight, part.target):
+        following, want = model.step(states[code // v], names[code % v])
+        assert names[code % v] in model.arcs[states[code // v]] and weight == pytest.approx(want) and states[target] == following
+    for i, state in enumerate(states[:-1]):
+        assert states[part.failure[i]] == state[1:]
+        assert part.failure_weight[i] == pytest.approx(model.backoff.get(state, 0.0))
+    assert part.unseen == pytest.approx(model.unseen) and len(model.backoff) > 100
+
+
 def test_names_after_a_capitalised_word_are_replaced():
     s = pii.Surrogates(b"key of the tests")
     for text in ("Contact Mary Smith", "Dear Mary Smith, we saw Smith.", "Yesterday Old Mary Smith left", "Mary Anna Smith", "CONTACT MARY SMITH"):
