@@ -15,6 +15,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)).otherwise(0.0)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x to so many digits; what rounds to zero keeps its sign, as in SQL's round (Spark's gives 0.0 for it)."""
+    r = F.round(x, digits)
+    return F.when(r == 0, x * 0.0).otherwise(r)
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
 
@@ -37,7 +43,7 @@ def int8_decode(codes: Column) -> Column:
 
 def top_by_dot(vectors: DataFrame, query: DataFrame, k: int, id_column: str = "doc_id") -> DataFrame:
     """(id, score): the k vectors with the highest product with the one query vector (column q)."""
-    scored = vectors.crossJoin(F.broadcast(query.select("q").limit(1))).select(id_column, F.round(dot(F.col("v"), F.col("q")), 6).alias("score"))
+    scored = vectors.crossJoin(F.broadcast(query.select("q").limit(1))).select(id_column, rounded(dot(F.col("v"), F.col("q")), 6).alias("score"))
     return scored.orderBy(F.desc("score"), id_column).limit(k)
 
 
@@ -66,7 +72,7 @@ def doc_vectors(chunks: DataFrame, key: str, position: str) -> DataFrame:
 def top_documents(docs: DataFrame, query: list[float], n: int = 100) -> DataFrame:
     """(path, score): the n documents whose vectors (codes) have the highest product with the query."""
     q = F.array(*(F.lit(float(x)) for x in query))
-    return docs.select("path", F.round(dot(int8_decode(F.col("codes")), q), 6).alias("score")).orderBy(F.desc("score"), "path").limit(n)
+    return docs.select("path", rounded(dot(int8_decode(F.col("codes")), q), 6).alias("score")).orderBy(F.desc("score"), "path").limit(n)
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -136,7 +142,7 @@ def boundaries(chunks: DataFrame, key: str, order: str, length: Column, threshol
     w = Window.partitionBy(key).orderBy(order)
     at = F.coalesce(F.sum(length + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = chunks.withColumn("_before", F.lag("v").over(w)).withColumn("position", at).where("_before is not null")
-    return rows.select(order, key, F.round(dot(F.col("v"), F.col("_before")), 6).alias("sim"), "position").where(F.col("sim") < threshold)
+    return rows.select(order, key, rounded(dot(F.col("v"), F.col("_before")), 6).alias("sim"), "position").where(F.col("sim") < threshold)
 
 
 def max_sim(query: DataFrame, tokens: DataFrame, key: str, position: str | None = None, most: int = 128) -> DataFrame:
@@ -147,4 +153,4 @@ def max_sim(query: DataFrame, tokens: DataFrame, key: str, position: str | None
     if query.count() > most:
         raise ValueError(f"a query has at most {most} vectors")
     each = kept.crossJoin(F.broadcast(query)).groupBy(key, "qid").agg(F.greatest(F.max(dot(F.col("v"), F.col("q"))), F.lit(0.0)).alias("best"))
-    return each.groupBy(key).agg(F.round(F.avg("best"), 6).alias("score"))
+    return each.groupBy(key).agg(rounded(F.avg("best"), 6).alias("score"))

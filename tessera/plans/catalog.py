@@ -202,7 +202,7 @@ def knn_filtered(spark, sf):
 
 @query(f"WITH {V} SELECT doc_id, [round(x / sqrt(list_sum([y * y FOR y IN v])), 6) FOR x IN v] AS unit FROM v")
 def normalize_vectors(spark, sf):
-    return vectors(spark, sf).select("doc_id", F.transform(vector.normalize(F.col("v")), lambda x: F.round(x, 6)).alias("unit"))
+    return vectors(spark, sf).select("doc_id", F.transform(vector.normalize(F.col("v")), lambda x: vector.rounded(x, 6)).alias("unit"))
 
 
 @query(f"WITH {V}, c AS (SELECT doc_id, v, list_min(v) AS low, (list_max(v) - list_min(v)) / 255 AS scale FROM v) SELECT doc_id, round(scale, 9) AS scale, list_max([abs(x - (round((x - low) / scale) * scale + low)) FOR x IN v]) <= scale / 2 + 1e-12 AS within FROM c")
@@ -215,7 +215,7 @@ def int8_roundtrip_error(spark, sf):
 @query(f"WITH {V}, p AS (SELECT label, v, row_number() OVER (PARTITION BY label ORDER BY doc_id) - 1 AS p, count(*) OVER (PARTITION BY label) AS n FROM v), w AS (SELECT label, v, CASE WHEN p = n - 1 AND n > 2 THEN 1.2::DOUBLE WHEN p = 0 AND n > 1 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN n > 4 THEN 1 + 0.3::DOUBLE * (1 - 2 * abs(p / (n - 1) - 0.5)) ELSE 1 END AS w FROM p), f AS (SELECT label, w, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS dim FROM w) SELECT label, dim::INT AS dim, round(sum(x * w) / sum(w), 6) AS value FROM f GROUP BY ALL")
 def doc_centroids(spark, sf):
     """Weighted mean vectors, with labels for documents."""
-    return vector.centroids(vectors(spark, sf), "label", "doc_id").select("label", "dim", F.round("value", 6).alias("value"))
+    return vector.centroids(vectors(spark, sf), "label", "doc_id").select("label", "dim", vector.rounded(F.col("value"), 6).alias("value"))
 
 
 @query(f"WITH {V}, q AS (SELECT doc_id AS qid, v AS q FROM v WHERE doc_id < 4), s AS (SELECT label, qid, greatest(max(list_inner_product(v, q)), 0) AS best FROM v, q GROUP BY ALL) SELECT label, round(avg(best), 6) AS score FROM s GROUP BY label ORDER BY score DESC, label LIMIT 5")
@@ -248,7 +248,7 @@ def path_boost(spark, sf):
 @query(f"WITH {V}, {_Q}, s AS (SELECT doc_id, label, round(list_inner_product(v, q), 6) AS score FROM v, q), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, doc_id) AS nth FROM s) SELECT doc_id, label, score FROM r ORDER BY (nth > 1), score DESC, doc_id LIMIT 15")
 def diverse_topk(spark, sf):
     """The best of each label first."""
-    s = vectors(spark, sf).crossJoin(F.broadcast(_query_vector(spark, sf))).select("doc_id", "label", F.round(vector.dot(F.col("v"), F.col("q")), 6).alias("score"))
+    s = vectors(spark, sf).crossJoin(F.broadcast(_query_vector(spark, sf))).select("doc_id", "label", vector.rounded(vector.dot(F.col("v"), F.col("q")), 6).alias("score"))
     return ranking.diverse(s, "label", "score", "doc_id", 15).select("doc_id", "label", "score")
 
 
