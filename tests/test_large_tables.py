@@ -23,3 +23,31 @@ def test_what_rounds_to_zero_keeps_its_sign(spark, tmp_path):
     for name in ("normalize_vectors", "doc_centroids"):
         got = exact(QUERIES[name](spark, str(tmp_path)).collect())
         assert got == exact(oracle(name, tmp_path, "embeddings")) and any("-0.0" in r for r in got)
+
+
+def test_pairs_to_link_a_group_of_near_copies_grow_with_it(spark, monkeypatch):
+    import random
+
+    from tessera.llm import jaccard
+
+    draw = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(f"x{draw.randrange(10**6)}" if draw.random() < 0.01 else w for w in base) for _ in range(120)]
+    texts += [" ".join(f"{w}{k}" for w in base) for k in range(20)]
+    half = base[:150] + [f"h{i}" for i in range(50)]  # like the others, and like the next
+    texts += [" ".join(half), " ".join(half[60:] + [f"g{i}" for i in range(40)]), " ".join(f"y{i}" for i in range(90))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    verified, whole = [], jaccard._verify
+
+    def counted(pairs, *rest, **options):
+        verified.append(pairs.count())
+        return whole(pairs, *rest, **options)
+
+    monkeypatch.setattr(jaccard, "_verify", counted)
+    kept = {r["doc_id"] for r in jaccard.drop_near_duplicates(docs).collect()}
+    assert sum(verified) < 10 * len(texts)
+    verified.clear()
+    members, pairs = jaccard.join_sets(docs)
+    grouped, least = jaccard._grouped(members, jaccard.components(pairs))
+    assert kept == {r["one"] for r in least.collect()} == {0, *range(120, 140), 142}
+    assert sum(verified) > 40 * len(texts)
