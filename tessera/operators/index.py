@@ -1,8 +1,9 @@
 """The inverted index: postings, sorted by term, in Parquet.
 
 A row has a document's term with its frequency, its positions and the document's length, so that a search reads nothing but the
-rows of its terms. Files cover ranges of (term, doc_id): Parquet's statistics prune all files and row groups that hold
-none of a query's terms, prefixes included, and a term of very many documents spans several files.
+rows of its terms. The postings are made in blocks of documents with BLOCK bytes of text, each sorted by term where it is made: nothing is
+shuffled, and a block is all that a task holds. A file has the blocks of a task. Parquet's statistics of row groups and pages prune
+all that holds none of a query's terms, prefixes included; a block has each term once, in few pages.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from ..functions.stemming import TOKEN, fold, porter
 from ..sources.workspace import shared_folder
 
+#: Bytes of text that are inverted at once, and postings that are handed over at once.
+BLOCK, POSTED = 32 << 20, 50_000
 POSTINGS = "doc_id long, term string, tf int, dl int, positions array<int>"
 
 
@@ -27,35 +30,68 @@ def raw_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Rows (doc_id, words) in tables of about `most` bytes of words; a longer text is in a table of its own."""
+    held, size = [], 0
+    for batch in batches:
+        end = np.cumsum(pc.fill_null(pc.binary_length(batch.column("words")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+        begin = 0
+        while begin < batch.num_rows:
+            done = end[begin - 1] if begin else 0
+            stop = max(begin + 1, int(np.searchsorted(end, done + most - size, side="right")))
+            held.append(batch.slice(begin, stop - begin))
+            size += end[stop - 1] - done
+            begin = stop
+            if size >= most or begin < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _inverted(block: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The postings of a block, sorted by term."""
+    lists = pc.split_pattern(block.column("words").combine_chunks(), " ")
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int32)
+    words = lists.flatten().dictionary_encode()
+    if not len(words):
+        return
+    stems = pa.array([porter(fold(w)) for w in words.dictionary.to_pylist()], pa.string()).dictionary_encode()
+    order = pc.sort_indices(stems.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    names = stems.dictionary.take(pa.array(order))
+    term = rank[stems.indices.to_numpy()][words.indices.to_numpy()]
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    position = (np.arange(len(term)) - np.repeat(np.cumsum(sizes, dtype=np.int64) - sizes, sizes) + 1).astype(np.int32)
+    by_term = np.argsort(term, kind="stable")  # documents and positions are in order
+    term, owner, position = term[by_term], owner[by_term], position[by_term]
+    head = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (term[1:] != term[:-1])]))
+    ends, doc_id = np.append(head, len(term)), block.column("doc_id").combine_chunks()
+    for begin in range(0, len(head), POSTED):
+        cut = ends[begin : begin + POSTED + 1]
+        at = owner[cut[:-1]]
+        lists = pa.ListArray.from_arrays(pa.array((cut - cut[0]).astype(np.int32)), pa.array(position[cut[0] : cut[-1]]))
+        yield pa.RecordBatch.from_arrays([doc_id.take(pa.array(at)), names.take(pa.array(term[cut[:-1]])), pa.array(np.diff(cut).astype(np.int32)), pa.array(sizes[at]), lists], names=["doc_id", "term", "tf", "dl", "positions"])
+
+
 def postings(docs: DataFrame) -> DataFrame:
-    """(doc_id, term, tf, dl, positions) of every term of every document; positions count from 1.
+    """(doc_id, term, tf, dl, positions) of every term of every document, block by block in order of terms; positions count from 1.
 
     Null and empty texts have no postings; rows that share a doc_id are posted each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 2000):
-                batch = whole.slice(begin, 2000)
-                toks = batch.column("tokens")
-                sizes = np.asarray(pc.fill_null(pc.list_value_length(toks), 0)).astype(np.int64)
-                words = toks.flatten().dictionary_encode()
-                names, code = np.unique(np.array([porter(fold(w)) for w in words.dictionary.to_pylist()], object), return_inverse=True) if len(words) else (np.zeros(0, object), np.zeros(0, np.int64))
-                term = code[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                position = np.arange(len(term)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
-                order = np.lexsort((position, term, owner))
-                owner, term, position = owner[order], term[order], position[order]
-                head = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (term[1:] != term[:-1])]))[: len(term)]
-                lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(term)).astype(np.int32)), pa.array(position.astype(np.int32)))
-                at = owner[head] if len(term) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), pa.array(names[term[head]] if len(term) else [], pa.string()), pa.array(np.diff(np.append(head, len(term))).astype(np.int32)), pa.array(sizes[at].astype(np.int32)), lists if len(term) else pa.array([], pa.list_(pa.int32()))], names=["doc_id", "term", "tf", "dl", "positions"])
+        for block in _blocks(batches, BLOCK):
+            yield from _inverted(block)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     least = docs.sparkSession.sparkContext.defaultParallelism
     if texts.rdd.getNumPartitions() < least:  # a table of fewer splits than cores: it is small, and its texts may move
         texts = texts.repartition(least)
-    rows = texts.select("doc_id", raw_tokens(F.col("text")).alias("tokens"))
+    # the tokens with blanks between them: one string a text costs less to hand over than many
+    words = F.trim(F.regexp_replace(F.lower("text"), f"[^{TOKEN.strip('[]+')}]+", " "))
+    rows = texts.select("doc_id", words.alias("words")).where("words <> ''")
     return rows.mapInArrow(run, POSTINGS)
 
 
@@ -69,15 +105,8 @@ class Index:
 
     @classmethod
     def build(cls, docs: DataFrame, folder: str) -> Index:
-        """Writes the postings of docs under folder, over any that are there.
-
-        They are written as they come first: the ranges are then sampled from the keys, not by reading the texts again.
-        """
-        raw = f"{folder}/unsorted"
-        postings(docs).write.mode("overwrite").parquet(raw)
-        placed = docs.sparkSession.read.schema(POSTINGS).parquet(raw).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-        placed.write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(f"{folder}/postings")
-        docs.sparkSession.createDataFrame([], POSTINGS).write.mode("overwrite").parquet(raw)
+        """Writes the postings of docs under folder, over any that are there."""
+        postings(docs).write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(f"{folder}/postings")
         spark = docs.sparkSession
         total = spark.read.parquet(f"{folder}/postings").agg(F.sum("tf").alias("n")).first()["n"] or 0
         n_docs = docs.count()

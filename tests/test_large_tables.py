@@ -51,3 +51,36 @@ def test_pairs_to_link_a_group_of_near_copies_grow_with_it(spark, monkeypatch):
     grouped, least = jaccard._grouped(members, jaccard.components(pairs))
     assert kept == {r["one"] for r in least.collect()} == {0, *range(120, 140), 142}
     assert sum(verified) > 40 * len(texts)
+
+
+def test_postings_are_sorted_in_bounded_blocks_without_a_shuffle(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from tessera.operators import index
+
+    texts = ["b a b", "", "c", "a " * 30, "a d", None, "ponies c"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(7)), "words": [t and t.strip() for t in texts]})
+    blocks = list(index._blocks([batch, batch], 60))
+    assert len(blocks) > 4 and pa.concat_tables(blocks).to_pylist() == batch.to_pylist() * 2
+    assert all(b.num_rows == 1 or sum(len(w or "") for w in b["words"].to_pylist()) <= 60 for b in blocks)
+    rows = [r for b in index._inverted(pa.Table.from_batches([batch.slice(0, 1), batch.slice(2, 1)])) for r in b.to_pylist()]
+    assert [(r["term"], r["doc_id"], r["tf"], r["dl"], r["positions"]) for r in rows] == [("a", 0, 1, 3, [2]), ("b", 0, 2, 3, [1, 3]), ("c", 2, 1, 1, [1])]
+
+    def refuse(*_):
+        raise AssertionError("the postings are shuffled")
+
+    monkeypatch.setattr(DataFrame, "repartitionByRange", refuse)
+    docs = spark.createDataFrame([(i, f"Alpha{'!' * i} naïve_{i % 3}") for i in range(40)], "doc_id long, text string")
+    built = index.Index.build(docs, str(tmp_path / "index"))
+    found = built.postings(spark).groupBy("term").count().collect()
+    assert built.avgdl == 3 and {r["term"]: r["count"] for r in found} == {"alpha": 40, "naiv": 40, "0": 14, "1": 13, "2": 13}
+
+
+def test_texts_are_not_shuffled_for_summaries(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["summarize_matches"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
