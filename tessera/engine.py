@@ -116,7 +116,7 @@ class Engine:
 
     def summarize_matches(self, query: str, limit: float | None = None) -> DataFrame:
         """(position, path, excerpt): the documents of the best matches in order, and excerpts of the first five matches."""
-        found = self.search(query, bounded(limit, 20, 50)).join(self.docs.select("doc_id", "text"), "doc_id")
+        found = self.docs.select("doc_id", "text").join(F.broadcast(self.search(query, bounded(limit, 20, 50))), "doc_id")
         return match_summary(found)
 
 

@@ -181,7 +181,8 @@ def hybrid_weights(spark, sf):
 def summarize_matches(spark, sf):
     """Documents of the best 20 matches in order, with excerpts of the first five."""
     found = hybrid(corpus(spark, sf), vectors(spark, sf), index(spark, sf), TERMS, _query_vector(spark, sf), SearchOptions(20))
-    return match_summary(found.join(corpus(spark, sf).select("doc_id", "text"), "doc_id"))
+    # at most 20 rows: the texts aren't shuffled for them
+    return match_summary(corpus(spark, sf).select("doc_id", "text").join(F.broadcast(found), "doc_id"))
 
 
 # --- what changes the order ---
