@@ -10,10 +10,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunking import text_bounds
 from .code import cut_at_boundary
 
 #: Texts -> one vector each.
@@ -77,20 +78,21 @@ def embed_chunks(chunks: DataFrame, embed: Embedder, batch: int = 16) -> DataFra
     """chunks (heading, content, ...) with v, in batches; another number of vectors than texts is an error."""
     schema = chunks.drop("v").withColumn("v", F.array().cast("array<double>")).schema
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            headings = frame["heading"].fillna("") if "heading" in frame else pd.Series("", frame.index)
-            texts = [f"{h}\n\n{c}" if h else (c or "") for h, c in zip(headings, frame["content"])]
-            vectors: list[list[float]] = []
-            for i in range(0, len(texts), batch):
-                got = embed(texts[i : i + batch])
-                if len(got) != len(texts[i : i + batch]):
-                    raise ValueError(f"{len(got)} vectors for {len(texts[i : i + batch])} texts")
-                vectors += got
-            frame["v"] = vectors
-            yield frame[schema.names]
-
-    return chunks.drop("v").mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin, end in text_bounds(whole.column("content")):
+                part = whole.slice(begin, end - begin)
+                headings = part.column("heading").to_pylist() if "heading" in part.schema.names else [""] * len(part)
+                texts = [f"{h}\n\n{c}" if h else (c or "") for h, c in zip(headings, part.column("content").to_pylist())]
+                vectors: list[list[float]] = []
+                for i in range(0, len(texts), batch):
+                    got = embed(texts[i : i + batch])
+                    if len(got) != len(texts[i : i + batch]):
+                        raise ValueError(f"{len(got)} vectors for {len(texts[i : i + batch])} texts")
+                    vectors += got
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(vectors, pa.list_(pa.float64()))], names=[*part.schema.names, "v"])
+
+    return chunks.drop("v").mapInArrow(run, schema)
 
 
 class BreakerOpen(Exception):

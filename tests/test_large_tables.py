@@ -84,3 +84,31 @@ def test_texts_are_not_shuffled_for_summaries(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_texts_are_objects_slice_by_slice(spark):
+    import pyarrow as pa
+
+    from tessera.functions import chunking, code, embedding
+
+    texts = ["A b. C d.", None, "", "x y. " * 300_000, "e. f", *["g h. I j."] * 50]
+    seen = []
+    got = chunking.in_slices(lambda part: seen.append(part) or [[t] for t in part], pa.list_(pa.string()), pa.array(texts))
+    assert got.to_pylist() == [[t] for t in texts] and len(seen) == 1
+    wide = pa.array(["z" * 1_000_000] * 30)
+    assert [b - a for a, b in chunking.text_bounds(wide)] == [4] * 7 + [2] and not list(chunking.text_bounds(wide.slice(0, 0)))
+    assert [b - a for a, b in chunking.text_bounds(pa.array(["z" * 9_000_000, "a", None]))] == [1, 2]
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    splitter = chunking.Splitter(1000, 0.0)
+    columns = [chunking.sentence_array("text"), splitter.column(docs.text), code.Registry().column(docs.text, docs.text.substr(1, 3), splitter, 400)]
+    for row in docs.select("text", *(c.alias(f"c{i}") for i, c in enumerate(columns))).collect():
+        t = row["text"]
+        assert row["c0"] == (chunking.sentences(t) if t else [])
+        assert [tuple(c) for c in row["c1"]] == splitter.split(t)
+        assert [tuple(c) for c in row["c2"]] == code.to_budget(code.Registry().split(t, t and t[:3], splitter), 400)
+    rows = docs.select("doc_id", docs.text.substr(1, 20).alias("content"))
+    done = embedding.embed_chunks(rows, embedding.hash_embedder(8))
+    assert done.columns == ["doc_id", "content", "v"] and "MapInArrow" in done._jdf.queryExecution().executedPlan().toString()
+    for row in done.collect():
+        assert row["v"] == embedding.hash_embedder(8)([row["content"] or ""])[0]
